@@ -39,7 +39,8 @@ class Template:
 
     def escape(self, text: str) -> str:
         text = text.replace("\\", "\\\\")
-        return re.sub("|".join(map(re.escape, self.controls)), lambda m: m[0][0] + "\\" + m[0][1:], text)
+        # control strings may overlap: each place where one begins gets its backslash
+        return re.sub(f"(?=(?:{'|'.join(map(re.escape, self.controls))}))(.)", r"\1\\", text, flags=re.DOTALL)
 
     @staticmethod
     def unescape(text: str) -> str:
