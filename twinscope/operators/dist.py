@@ -23,6 +23,8 @@ RANGES = 32
 
 def _ranges(counted: DataFrame, key: str, value: str, ranges: int) -> DataFrame:
     """``counted`` with ``range``: how many of the key's cut points lie below the value. One small row a key is broadcast."""
+    if ranges < 2:
+        return counted.withColumn("range", F.lit(0))
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = counted.groupBy(key).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("cuts"))
     return counted.join(F.broadcast(cuts), key).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
