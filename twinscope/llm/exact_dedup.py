@@ -25,7 +25,7 @@ from .shared import materialize, shuffle_partitions, whole_text
 MAX_DEPTH = 20
 BUCKETS_PER_OWNER = 64
 #: Bytes of text that a map task folds before it passes entries on.
-FOLD_BYTES = 32 << 20
+FOLD_BYTES = 8 << 20
 
 
 class Directory:
@@ -147,7 +147,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
             else:
                 chain.append([text, most, n])
-        if len(out) > 20_000:
+        if len(out) > 5_000:
             yield flush()
     close()
     if out:
