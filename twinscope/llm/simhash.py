@@ -34,6 +34,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 _LEAF, _FAN = 16, 8
 _CHUNK = 32_768
+#: Fingerprints of a block value beyond this are cut into shards; a tile holds two of them.
+MAX_TILE = 1 << 16
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -155,11 +157,11 @@ def links(nodes: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
     """``(a, b)``: edges between the ids of ``nodes (id, fp)``, enough of them to join all that link."""
     spark = nodes.sparkSession
     n, parts = nodes.count(), shuffle_partitions(spark)
-    share = max(256, -(-BLOCKS * n // max(1, parts)))
+    share = min(MAX_TILE, max(256, -(-BLOCKS * n // max(1, parts))))
     block = F.explode(F.array(*[F.lit(i) for i in range(BLOCKS)]))
     width = BITS // BLOCKS
     routed = nodes.withColumn("block", block).withColumn("value", F.expr(f"shiftrightunsigned(fp, block * {width}) & {(1 << width) - 1}"))
-    # at most BLOCKS * n / share <= parts rows
+    # a row a full block value: BLOCKS * 2**16 at most, whatever the input
     full = routed.groupBy("block", "value").count().where(F.col("count") > share)
     shards = full.select("block", "value", F.ceil(F.col("count") / F.lit(share)).cast("int").alias("shards"))
     routed = routed.join(F.broadcast(shards), ["block", "value"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
