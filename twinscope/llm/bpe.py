@@ -39,8 +39,18 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+# Capitals that Python's tables don't know yet, with their small letters.
+LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_CAPITALS = regex.compile("[" + "".join(map(chr, LATER_CAPITALS)) + "]")
+
+
 def lower_each(text: str) -> str:
     """Lower case character by character: unlike ``str.lower`` a final sigma gets no form of its own."""
+    if text.isascii():
+        return text.lower()
+    if _CAPITALS.search(text):
+        text = text.translate(LATER_CAPITALS)
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
@@ -62,7 +72,12 @@ class BpeModel:
         self.nfc, self.lower = '"NFC"' in kinds, '"Lowercase"' in kinds
         steps = own["pre_tokenizer"].get("pretokenizers") or [own["pre_tokenizer"]]
         pattern = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), GPT_WORDS)
-        self.words = regex.compile(pattern.replace("[^\\s", "[^" + SPACE).replace("\\s", "[" + SPACE + "]").replace("\\S", "[^" + SPACE + "]"))
+        spaced = pattern.replace("[^\\s", "[^" + SPACE).replace("\\s", "[" + SPACE + "]").replace("\\S", "[^" + SPACE + "]")
+        self.words = regex.compile(spaced)
+        # the same with letters and numbers that the library doesn't know yet taken out, for texts that hold any
+        older = spaced.replace("\\p{L}", "[\\p{L}--[" + LATER + "]]").replace("\\p{N}", "[\\p{N}--[" + LATER + "]]")
+        self.older_words = regex.compile(older, regex.V1)
+        self.later = regex.compile("[" + LATER + "]")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.byte_decoder = (own.get("decoder") or {}).get("type") == "ByteLevel"
         self.alphabet = byte_alphabet()
@@ -106,6 +121,12 @@ class BpeModel:
     def word_ids(self, word: str) -> list[int]:
         return [self.vocab[t] for t in self.stream(self.symbols(word)) if t in self.vocab]
 
+    def split(self, text: str) -> list[str]:
+        """The words of a normal text."""
+        if not text.isascii() and self.later.search(text):
+            return self.older_words.findall(text)
+        return self.words.findall(text)
+
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """The text cut at the strings of special tokens: ``(is special, part)``."""
         if self.special is None or not any(s in text for s in self.added):
@@ -123,6 +144,20 @@ class BpeModel:
 
 #: White space as Unicode has it, for a character class.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Letters and numbers that the Unicode standard has gained since version 16, which the library's tables follow.
+LATER = "".join(
+    f"\\U{int(a, 16):08x}-\\U{int(b or a, 16):08x}"
+    for a, _, b in (
+        x.partition("-")
+        for x in (
+            "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 "
+            "10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 "
+            "187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 "
+            "1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e "
+            "2cea2-2cead 323b0-33479 3d000-3fc3f"
+        ).split()
+    )
+)
 #: The word pattern that the byte-level pre-tokenizer has built in (fixed value).
 GPT_WORDS = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 
@@ -167,7 +202,7 @@ class Encoder:
             if special:
                 out.append(np.array([self.model.added[part]], dtype="<i4").tobytes())
             else:
-                out += map(self.known.__getitem__, self.model.words.findall(self.model.normal(part)))
+                out += map(self.known.__getitem__, self.model.split(self.model.normal(part)))
         return b"".join(out)
 
 
