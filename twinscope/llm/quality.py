@@ -148,5 +148,6 @@ def _assessed(rows: DataFrame, docs: DataFrame, labels: DataFrame | None, id_col
 def keep_good(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns as they are (whatever their names), that pass the base rules and the score."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"))
-    passed = _assessed(rows, docs, labels, id_col, text_col, min_score).where("kept")
-    return passed.select("__row.*")
+    # a filter isn't pushed below a projection with the task's number, which would compute the word lists once more for it
+    assessed = _assessed(rows, docs, labels, id_col, text_col, min_score).withColumn("__task", F.spark_partition_id())
+    return assessed.where("kept and __task >= 0").select("__row.*")
