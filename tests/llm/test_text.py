@@ -217,6 +217,12 @@ def packed():
         return packing.LibraryIds(f.read()), Tokenizer.from_file(path)
 
 
+def test_packed_ids_of_long_white_space_are_the_library(packed):
+    own, library = packed
+    for text in (" " * 1_500_000, "a\n" + "\n" * 1_500_000, "one" + " \t\n" * 500_000 + "two", "x" * 1_500_000, " a" * 60_000 + " " * 99_999 + "b"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_odd_rows(odd_docs, no_docs):
     path = bpe.default_path(BYTE)
     rows = packing.pack(odd_docs, path).collect()

@@ -10,6 +10,7 @@ once they are written, so that a task that runs again changes nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ from .bpe import GPT_WORDS, byte_alphabet, shared_spec
 from .shared import materialize
 
 MAX_LENGTH = 1024
+#: tiktoken's pattern keeps a state for each character of a white-space run and panics near a million of them.
+SAFE_SPACES = 100_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{SAFE_SPACES}}}")
 
 
 def cuts(size: int, most: int = MAX_LENGTH) -> list[tuple[int, int]]:
@@ -41,7 +45,8 @@ class LibraryIds:
     tiktoken applies the same vocabulary: in a byte-level BPE each token has one
     merge, and ids rise with the merges' ranks, so both give the same ids, the
     former in a fraction of the time. Texts with a special token's string, which
-    only the tokenizers library knows, go through that library.
+    only the tokenizers library knows, go through that library, and so do texts
+    with a white-space run of ``SAFE_SPACES`` or more, on which tiktoken fails.
     """
 
     def __init__(self, spec: bytes):
@@ -67,7 +72,7 @@ class LibraryIds:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.added):
+        if any(s in text for s in self.added) or (len(text) >= SAFE_SPACES and _LONG_SPACE.search(text)):
             return self.direct(text)
         return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
