@@ -149,6 +149,23 @@ def test_line_dedup(spark, sf, odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_null_and_repeated_ids(spark):
+    rows = [
+        (1, "a\nb\nc\nd"),
+        (2, "1\n2\n3\n4\n5\na\nb\nc"),  # loses its end to 1
+        (2, "q\nr\ns"),  # shorter than that place: stays whole
+        (None, "u\nv\nw\nx"),
+        (None, "u\nv\nw\ny"),  # the same window at the same place: one of the two loses it
+        (None, "q\nr\ns"),  # after the id 2: goes
+        (None, "short"),
+    ]
+    out = [tuple(r) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(out) == len(rows)
+    assert sorted(r for r in out if r[0]) == [(1, "a\nb\nc\nd", 4, 0), (2, "1\n2\n3\n4\n5", 8, 3), (2, "q\nr\ns", 3, 0)]
+    rest = sorted(r[1:] for r in out if r[0] is None)
+    assert rest in ([("", 3, 3), ("short", 1, 0), ("u\nv\nw\nx", 4, 0), ("y", 4, 3)], [("", 3, 3), ("short", 1, 0), ("u\nv\nw\ny", 4, 0), ("x", 4, 3)])
+
+
 def test_overlapping_windows_merge():
     assert line_dedup.without("a\nb\nc\nd\ne", [0, 1]) == ("e", 5, 4)
     assert line_dedup.without("a\nb", None) == ("a\nb", 2, 0)
