@@ -95,6 +95,28 @@ def test_simhash_odd_rows(odd_docs, no_docs):
     assert simhash.near_dedup(odd_docs).columns == odd_docs.columns
 
 
+ROWS = "doc_id long, text string, row_digest int"
+FAR = ["all the birds of the north fly south when winter comes near", "a ship with nine sails left the old harbour at dawn today", "seven bakers bake bread for the king of a very small land"]
+
+
+def test_near_dedup_keeps_null_and_repeated_ids_right(spark):
+    rows = [
+        (None, FAR[0], 1),  # without an id, and alone in its group: stays
+        (3, FAR[1], 2),
+        (7, FAR[1].upper(), 3),  # a copy of 3's text under an id that stays for another text: goes
+        (7, FAR[2], 4),
+        (None, FAR[2] + " ", 5),  # a group with an id: goes
+        (9, "", 6),
+        (9, None, 7),  # one group and one id: one row of it stays
+        (9, " \n", 8),
+    ]
+    docs = spark.createDataFrame(rows, ROWS)
+    out = [tuple(r) for r in simhash.near_dedup(docs).collect()]
+    assert sorted(out[i][2] for i in range(len(out)) if out[i][0] != 9) == [1, 2, 4]
+    assert sum(r[0] == 9 for r in out) == 1 and len(out) == 4
+    assert simhash.near_dedup(docs).columns == docs.columns
+
+
 def clusters(seed, n):
     rnd = random.Random(seed)
     out = set()

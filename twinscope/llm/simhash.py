@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize, shuffle_partitions
+from .shared import drop, free_name, materialize, shuffle_partitions, whole_text
 
 BITS = 64
 BLOCKS = 4
@@ -64,17 +64,22 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)``: a row a document, ``fp`` the fingerprint as a signed 64-bit integer."""
+def row_digest(id_col: str, text_col: str):
+    """One value for a row's id and text together; a null id is told from all others, a null text is the empty one."""
+    return F.sha2(F.encode(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(" "), whole_text(text_col)), "UTF-8"), 256)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, digest: bool = False) -> DataFrame:
+    """``(doc_id, fp)``: a row a document, ``fp`` the fingerprint as a signed 64-bit integer; with ``digest`` also ``row_digest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle_words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[row_digest(id_col, text_col).alias("row_digest")] * digest)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", row_digest string" * digest)
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -237,20 +242,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns aren't read. A null id takes part as an ordinary group member but
     never names a component unless the group has no other id.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "prints")
+    return _grouped(fingerprints(docs, id_col, text_col, shingle_words), most).select("doc_id", "fp", "component_id")
+
+
+def _grouped(prints: DataFrame, most: int) -> DataFrame:
+    """``prints`` with ``root``, one fingerprint for each component, and ``component_id``."""
+    prints = materialize(prints, "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fp")), "nodes")
     edges = materialize(links(nodes.select("id", "fp"), most), "forest")
     if edges.isEmpty():
-        table = nodes.select("fp", F.col("least").alias("component_id"))
+        table = nodes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
         joined = components(edges)
         table = nodes.join(joined, nodes.id == joined.v, "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
         table = materialize(table, "roots")
-        table = table.join(materialize(table.groupBy("root").agg(F.min("least").alias("component_id")), "components"), "root").select("fp", "component_id")
-    return prints.join(materialize(table, "classes"), "fp").select("doc_id", "fp", "component_id")
+        table = table.join(materialize(table.groupBy("root").agg(F.min("least").alias("component_id")), "components"), "root").select("fp", "root", "component_id")
+    return prints.join(materialize(table, "classes"), "fp")
+
 
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, most: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one row of each group, that of the smallest id.
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay: of each group the one with the smallest id."""
-    kept = near_groups(docs, id_col, text_col, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    A null id stays only in a group without other ids. Of rows that repeat the
+    smallest id, or of a group without ids, the row with the smallest digest stays.
+    """
+    found = _grouped(fingerprints(docs, id_col, text_col, shingle_words, digest=True), most)
+    kept = found.where("doc_id <=> component_id").groupBy("root").agg(F.min("row_digest").alias("row_digest"))
+    key = free_name(docs, "row_digest")
+    rows = docs.withColumn(key, row_digest(id_col, text_col))
+    return rows.join(kept.select(F.col("row_digest").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
