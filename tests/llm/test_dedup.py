@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,6 +118,11 @@ def test_near_dedup_keeps_null_and_repeated_ids_right(spark):
     assert simhash.near_dedup(docs).columns == docs.columns
 
 
+def test_links_beyond_the_routing_blocks_are_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1, 1)], "id long, fp long"), most=simhash.BLOCKS)
+
+
 def clusters(seed, n):
     rnd = random.Random(seed)
     out = set()

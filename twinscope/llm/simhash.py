@@ -160,6 +160,8 @@ def forest(fps: np.ndarray, most: int = MAX_DISTANCE) -> np.ndarray:
 
 def links(nodes: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
     """``(a, b)``: edges between the ids of ``nodes (id, fp)``, enough of them to join all that link."""
+    if most >= BLOCKS:
+        raise ValueError(f"routing on {BLOCKS} blocks finds all links of at most {BLOCKS - 1} bits, not of {most}")
     spark = nodes.sparkSession
     n, parts = nodes.count(), shuffle_partitions(spark)
     share = min(MAX_TILE, max(256, -(-BLOCKS * n // max(1, parts))))
