@@ -139,6 +139,19 @@ def test_rank_correlations(spark):
     assert assoc.kendall(df, [("a", "b")]).first()["value"] == pytest.approx(abs(basic.kendalltau(a, b)))
 
 
+def test_kendall_takes_all_rows(spark):
+    rnd = np.random.default_rng(3)
+    a = np.append(rnd.integers(0, 900, 2500), [7] * 500).astype(float)
+    b = np.round(a / 9 + rnd.normal(0, 30, 3000), 1)
+    b[-1], a[0] = 1e300, -1e300
+    df = spark.createDataFrame(list(zip(a.tolist(), (-b).tolist(), strict=True)) + [(None, 1.0), (1.0, None)], "a double, b double")
+    want = basic.kendalltau(a, -b)
+    for how in ({}, {"leaf_rows": 100}):
+        out = {r.col_a: r.value for r in assoc.kendall(df, [("a", "b"), ("b", "a")], absolute=False, **how).collect()}
+        assert out == {"a": pytest.approx(want, abs=1e-12), "b": pytest.approx(want, abs=1e-12)}
+    assert assoc.kendall(df.limit(0), [("a", "b")]).count() == 0
+
+
 def test_self_comparison_is_perfect(spark, small):
     own = TablePair.of(small.real, small.real)
     assert all(r.correlation == pytest.approx(1) for r in assoc.column_correlations(own).collect())

@@ -12,6 +12,9 @@ from ..pair import TablePair, is_numeric
 from .dist import ecdf
 
 EPSILON = 1e-10
+#: Rows of a Kendall range, and the most levels (two to that power of ranges).
+LEAF_ROWS = 50_000
+MAX_LEVELS = 10
 
 
 def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -103,32 +106,87 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], absolute: bool = T
     return joined.groupBy("col_a", "col_b").agg((F.abs(value) if absolute else value).alias("value"))
 
 
-def kendall(df: DataFrame, pairs: Sequence[tuple[str, str]], max_samples: int = 1000, seed: int = 42, absolute: bool = True) -> DataFrame:
-    """``(col_a, col_b, value)``: tau-b over ``max_samples`` rows by hash order (all rows if there are no more)."""
+def _agreement(a, b, n) -> float:
+    """Concordant less discordant pairs of the cells ``(a, b)`` that occur ``n`` times."""
+    import numpy as np
+
+    order = np.argsort(a, kind="stable")
+    x, y = (np.unique(c, return_inverse=True)[1][order] for c in (a, b))
+    w = np.asarray(n, dtype=np.float64)[order]
+    total, todo = 0.0, [(0, len(x))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < 2 or x[lo] == x[hi - 1]:
+            continue
+        if hi - lo <= 256:
+            u, v, k = x[lo:hi], y[lo:hi], w[lo:hi]
+            total += float((np.sign(u[:, None] - u) * np.sign(v[:, None] - v) * (k[:, None] * k)).sum()) / 2
+            continue
+        middle = x[(lo + hi) // 2]
+        cut = int(np.searchsorted(x, middle, "left"))
+        if cut <= lo:
+            cut = int(np.searchsorted(x, middle, "right"))
+        above = np.argsort(y[cut:hi])
+        values, sums = y[cut:hi][above], np.append(0.0, np.cumsum(w[cut:hi][above]))
+        below, upto = (sums[np.searchsorted(values, y[lo:cut], side)] for side in ("left", "right"))
+        total += float((w[lo:cut] * (sums[-1] - upto - below)).sum())
+        todo += [(lo, cut), (cut, hi)]
+    return total
+
+
+def kendall(df: DataFrame, pairs: Sequence[tuple[str, str]], max_samples: int | None = None, seed: int = 42, absolute: bool = True, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``(col_a, col_b, value)``: tau-b over all rows, or over ``max_samples`` rows by hash order if that is given.
+
+    The first column's values are cut into ranges of about ``leaf_rows`` rows, equal
+    values together. Pairs of rows inside a range are counted in one task; pairs of
+    rows of two ranges at the bit where the ranges' numbers first differ, from the
+    second column's cumulative counts on either side of that bit.
+    """
     from ..pair import row_key
 
+    spark = df.sparkSession
     own = sorted({c for p in pairs for c in p})
-    rows = df.select(*own).orderBy(row_key(own, seed)).limit(max_samples)
-    rows = rows.withColumn("id", F.monotonically_increasing_id())
-    parts = F.array(*[F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")) for x, y in pairs])
-    each = rows.select(F.explode(parts).alias("e")).select("e.*").where("a is not null and b is not null")
-    listed = each.groupBy("col_a", "col_b").agg(F.collect_list(F.struct("a", "b")).alias("rows"))  # max_samples at most
+    rows = df.select(*own)
+    if max_samples is not None:
+        rows = rows.orderBy(row_key(own, seed)).limit(max_samples)
+    each = _numeric_pairs(rows, pairs)
+    key = ["col_a", "col_b"]
+    most = max([r["count"] for r in each.groupBy(*key).count().collect()], default=0)  # a row a pair
+    levels = min(MAX_LEVELS, max(0, (-(-most // leaf_rows) - 1).bit_length()))
+    if levels:
+        steps = F.array(*[F.lit(i / (1 << levels)) for i in range(1, 1 << levels)])
+        # collected, so that all that follows sees the same cut points: 2**MAX_LEVELS a pair at most
+        cuts = each.groupBy(*key).agg(F.percentile_approx("a", steps, F.lit(10_000)).alias("cuts")).collect()
+        cuts = spark.createDataFrame([tuple(r) for r in cuts], "col_a string, col_b string, cuts array<double>")
+        each = each.join(F.broadcast(cuts), key).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("a")))).drop("cuts")
+    else:
+        each = each.withColumn("range", F.lit(0))
+    cells = each.groupBy(*key, "range", "a", "b").agg(F.count("*").alias("n"))
 
-    def tau(parts):
-        import numpy as np
+    def inside(name, pdf):
         import pandas as pd
 
-        for pdf in parts:
-            out = []
-            for r in pdf.itertuples():
-                a, b = np.array([x["a"] for x in r.rows]), np.array([x["b"] for x in r.rows])
-                sa, sb = np.sign(a[:, None] - a[None, :]), np.sign(b[:, None] - b[None, :])
-                low = np.sqrt((sa**2).sum() * (sb**2).sum())
-                value = float((sa * sb).sum() / low) if low else 0.0
-                out.append((r.col_a, r.col_b, abs(value) if absolute else value))
-            yield pd.DataFrame(out, columns=["col_a", "col_b", "value"])
-
-    return listed.mapInPandas(tau, "col_a string, col_b string, value double")
+        return pd.DataFrame([(*name[:2], _agreement(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["n"].to_numpy()))], columns=["col_a", "col_b", "s"])
+
+    agree = cells.groupBy(*key, "range").applyInPandas(inside, "col_a string, col_b string, s double")
+    if levels:
+        level = each.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+        name = F.concat_ws("\x01", *key, F.col("level").cast("string"), F.expr("shiftright(range, level + 1)").cast("string"))
+        long = level.select(name.alias("column"), F.expr("1 - (shiftright(range, level) & 1)").alias("side"), F.col("b").alias("value"))
+        d = lambda c: F.col(c).cast("double")
+        part = F.split("column", "\x01")
+        across = ecdf(long).select(part[0].alias("col_a"), part[1].alias("col_b"), (d("a") * (d("nf") - 2 * d("cf") + d("b"))).alias("s"))
+        agree = agree.unionByName(across)
+    agree = agree.groupBy(*key).agg(F.sum("s").alias("s"))
+
+    def untied(column: str) -> DataFrame:
+        ties = cells.groupBy(*key, column).agg(F.sum("n").cast("double").alias("t"))
+        sums = ties.groupBy(*key).agg(F.sum("t").alias("t"), F.sum(F.col("t") * (F.col("t") - 1)).alias("same"))
+        return sums.select(*key, ((F.col("t") * (F.col("t") - 1) - F.col("same")) / 2).alias(f"untied_{column}"))
+
+    joined = agree.join(untied("a"), key).join(untied("b"), key)
+    value = F.coalesce(F.try_divide(F.col("s"), F.sqrt("untied_a") * F.sqrt("untied_b")), F.lit(0.0))
+    return joined.select(*key, (F.abs(value) if absolute else value).alias("value"))
 
 
 def nominal(df: DataFrame, choice: str | Sequence[str] | None = "auto") -> list[str]:

@@ -284,6 +284,12 @@ def kendall_pairs(spark, sf_dir):
     return assoc.kendall(rows, [("l_extendedprice", "l_quantity")]).select("col_a", "col_b", _r("value"))
 
 
+@_query()
+def kendall_pairs_all_rows(spark, sf_dir):
+    """``kendall_pairs`` over the whole table, too long for the SQL's comparison of all pairs of rows."""
+    return assoc.kendall(_table(spark, sf_dir, "lineitem"), [("l_extendedprice", "l_quantity")]).select("col_a", "col_b", _r("value"))
+
+
 @_query("WITH " + _EVENT_CELLS + _V_SQL + """, m AS (
 SELECT 'event_type' AS a, 'kind' AS b, least(1, sqrt(greatest(0, phi - (k - 1) * (r - 1) / (t - 1)) / (least(k - (k - 1) * (k - 1) / (t - 1), r - (r - 1) * (r - 1) / (t - 1)) - 1))) AS v FROM q
 UNION ALL SELECT 'event_type', 'value', value FROM (""" + _ETA_SQL.format(g="event_type", v="value", t="events").replace("round(sqrt(b / w), 6)", "sqrt(b / w)") + """)
