@@ -152,6 +152,11 @@ def test_kendall_takes_all_rows(spark):
     assert assoc.kendall(df.limit(0), [("a", "b")]).count() == 0
 
 
+def test_trees_have_one_depth_at_every_size():
+    for name in ("DecisionTreeClassifier", "RandomForestClassifier"):
+        assert {ml.classifiers(n, 3, 2)[name].getMaxDepth() for n in (10, 999, 1_000, 10**6)} == {ml.MAX_DEPTH}
+
+
 def test_self_comparison_is_perfect(spark, small):
     own = TablePair.of(small.real, small.real)
     assert all(r.correlation == pytest.approx(1) for r in assoc.column_correlations(own).collect())

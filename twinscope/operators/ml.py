@@ -52,11 +52,10 @@ def _ready(pair: TablePair, target: str, kind: str) -> tuple[DataFrame, DataFram
 
 
 def classifiers(n_rows: int, n_features: int, n_classes: int, seed: int = SEED) -> dict:
-    max_depth = MAX_DEPTH if n_rows < 1_000 else 12  # a job a level
     return {
         "LogisticRegression": LogisticRegression(maxIter=100, regParam=1.0 / max(1, n_rows)),
-        "RandomForestClassifier": RandomForestClassifier(numTrees=10, maxDepth=max_depth, maxBins=256, seed=seed),
-        "DecisionTreeClassifier": DecisionTreeClassifier(maxDepth=max_depth, maxBins=256, seed=seed),
+        "RandomForestClassifier": RandomForestClassifier(numTrees=10, maxDepth=MAX_DEPTH, maxBins=256, seed=seed),
+        "DecisionTreeClassifier": DecisionTreeClassifier(maxDepth=MAX_DEPTH, maxBins=256, seed=seed),
         "MLPClassifier": MultilayerPerceptronClassifier(layers=[n_features, 50, 50, max(2, n_classes)], maxIter=100, seed=seed),
     }
 
