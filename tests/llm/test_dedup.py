@@ -47,12 +47,38 @@ def test_directory_doubles_and_covers_all_keys():
         assert found.slots.count(bucket) == 1 << found.global_depth - found.local_depth[bucket]
 
 
+def test_owners_hold_ranges_of_keys():
+    counts = {k: (k * 7919) % 50 for k in range(64)}
+    found = exact_dedup.Directory.grown(counts, 6, 40)
+    owners = found.slot_owners(4)
+    assert len(owners) == len(found.slots) and sorted(owners) == list(owners) and set(owners) == {0, 1, 2, 3}
+    for bucket in set(found.slots):
+        assert len({o for o, s in zip(owners, found.slots, strict=True) if s == bucket}) == 1
+
+
 def test_colliding_keys_are_told_apart_by_their_bytes():
-    cols = [pa.array([0] * 4, pa.int32()), pa.array([7, 7, 7, 7]), pa.array([b"a", b"b", b"a", b"c"]), pa.array([1, 2, 3, 4]), pa.array([1, 1, 5, 1])]
-    batch = pa.RecordBatch.from_arrays(cols, ["bucket", "key", "text", "most", "n"])
-    (out,) = exact_dedup._own(iter([batch]))
-    rows = [(r["place"], r["keep_id"], r["group_size"]) for r in out.to_pylist()]
-    assert rows == [(0, 3, 6), (1, 2, 1), (2, 4, 1)]
+    batch = pa.table({"key": [7, 7, 7, 7, 8], "text": ["a", "b", "a", "c", "a"], "id": [1, 2, 3, 4, 9], "tie": [0] * 5, "n": [1, 1, 5, 1, 1]})
+    for size in (1, 2, 5):
+        rows = [r for b in exact_dedup._own(iter(batch.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert [(r["key"], r["place"], r["id"], r["n"]) for r in rows] == [(7, 0, 3, 6), (7, 1, 2, 1), (7, 2, 4, 1), (8, 0, 9, 1)]
+    folded = pa.Table.from_batches(exact_dedup._fold(np.zeros(1, np.int32), 0)(iter(batch.to_batches(max_chunksize=2)))).to_pylist()
+    assert sorted((r["key"], r["text"], r["id"], r["n"]) for r in folded) == [(7, "a", 3, 6), (7, "b", 2, 1), (7, "c", 4, 1), (8, "a", 9, 1)]
+
+
+def test_exact_dedup_null_and_repeated_ids_and_clashing_names(spark):
+    rows = [
+        (None, "x", 1, "a"), (None, "x", 2, "a"), (3, "x", 3, "a"),  # the id stays
+        (None, "y", 4, "a"), (None, "y", 4, "b"),  # one of two without an id
+        (7, "one", 5, "a"), (7, "two", 6, "a"),  # two texts under one id
+        (8, None, 7, "a"), (9, "", 8, "a"), (9, "", 8, "a"),  # null equals the empty text; a repeated row
+    ]
+    for names in ("__sha256", "key"), ("text_sha256", "row"), ("a.b", "n"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, `{names[0]}` int, `{names[1]}` string")
+        out = exact_dedup.exact_dedup(docs)
+        assert out.columns == docs.columns
+        found = [tuple(r) for r in out.collect()]
+        assert sorted(found, key=str) == sorted([(3, "x", 3, "a"), *[r for r in found if r[1] == "y"], (7, "one", 5, "a"), (7, "two", 6, "a"), (9, "", 8, "a")], key=str)
+        assert sum(r[1] == "y" for r in found) == 1
 
 
 def brute_fingerprint(text):

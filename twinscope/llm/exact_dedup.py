@@ -3,11 +3,14 @@
 The directory starts with one bucket and splits every bucket that holds more
 keys than its capacity, doubling when the bucket is as deep as the directory.
 It is grown from a count of distinct keys by leading hash bits, so only counts
-reach the driver. Then each map task folds its own copies, the folded entries go
-to the owners of their buckets, and each owner walks its keys in order: entries
+reach the driver. Buckets in the order of their keys are dealt to owners, so that
+each owner holds one range of keys. Each map task folds its own copies, the
+folded entries go to the owners, and each owner walks its keys in order: entries
 with one key form a chain, and an entry joins a copy on it only if all bytes are
 equal. The owners write the index (a row a distinct text) to the shared folder,
-and the rows look their group up there by key and digest.
+and the rows find their bucket through the directory and their group in it.
+``exact_dedup`` lets the folded entries carry the row that stays, so that a text
+crosses the network once.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialize, shuffle_partitions, whole_text
 
@@ -37,6 +42,7 @@ class Directory:
         self.slots = [0]  # the bucket of each slot
         self.local_depth = [0]
         self.prefix = [0]  # of each bucket, as many bits as it is deep
+        self.sizes = [0]  # keys of each bucket when the directory was grown
 
     @classmethod
     def grown(cls, counts: dict[int, int], depth: int, capacity: int) -> Directory:
@@ -47,9 +53,11 @@ class Directory:
         while todo:
             bucket, inside = todo.pop()
             level = own.local_depth[bucket]
-            if level >= depth or sum(counts[k] for k in inside) <= capacity:
+            own.sizes[bucket] = sum(counts[k] for k in inside)
+            if level >= depth or own.sizes[bucket] <= capacity:
                 continue
             new = own.split(bucket)
+            own.sizes.append(0)
             bit = depth - 1 - level
             todo += [(bucket, [k for k in inside if not k >> bit & 1]), (new, [k for k in inside if k >> bit & 1])]
         return own
@@ -71,6 +79,23 @@ class Directory:
     def bucket(self, key: int) -> int:
         return self.slots[key >> (64 - self.global_depth)] if self.global_depth else 0
 
+    def slot_owners(self, owners: int) -> np.ndarray:
+        """The owner of each slot: ranges of keys of about equal numbers, a bucket never split."""
+        slots = np.array(self.slots)
+        first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+        sizes = np.array([self.sizes[b] for b in slots[first]])
+        before = np.cumsum(sizes) - sizes
+        each = np.minimum(owners - 1, before * owners // max(1, sizes.sum()))
+        return np.repeat(each, np.diff(np.append(first, len(slots)))).astype(np.int32)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``(slot, bucket)``: 2**MAX_DEPTH rows at most."""
+        return spark.createDataFrame(pa.table({"slot": pa.array(range(len(self.slots)), pa.int64()), "bucket": pa.array(self.slots, pa.int32())}))
+
+    def slot(self, key) -> Column:
+        """The slot of a signed 64-bit key."""
+        return F.shiftrightunsigned(key, 64 - self.global_depth).cast("long") if self.global_depth else F.lit(0).cast("long")
+
 
 def directory_for(keys: DataFrame, owners: int) -> Directory:
     """``keys`` has one column ``key`` (signed 64-bit). Only counts by prefix are collected, ``2**MAX_DEPTH`` at most."""
@@ -82,88 +107,126 @@ def directory_for(keys: DataFrame, owners: int) -> Directory:
     return Directory.grown(counts, depth, max(16, 4 * total // (owners * BUCKETS_PER_OWNER)))
 
 
-def _fold(slots: list[int], depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains: dict[int, list[list]] = {}
-        held = 0
+def _later(a: tuple[int | None, int], b: tuple[int | None, int]) -> bool:
+    """Whether row ``a`` (id, tie) goes before ``b``: the larger id, any id before none, then the smaller tie."""
+    if a[0] != b[0]:
+        return b[0] is None or (a[0] is not None and a[0] > b[0])
+    return a[1] < b[1]
 
-        def entries() -> pa.RecordBatch:
-            flat = [(slots[(key & (1 << 64) - 1) >> (64 - depth)] if depth else 0, key, text, most, n) for key, chain in chains.items() for text, most, n in chain]
-            columns = zip(*flat, strict=True)
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "key", "text", "most", "n"])
 
-        for batch in batches:
-            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
-            for i, key, text in zip(ids, keys, texts, strict=True):
+def _fold(owners: np.ndarray, depth: int):
+    """Entries ``(owner, *columns)`` from rows ``(key, text, id, tie, n, ...)``: the row that stays for each distinct text, and how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def fold(table: pa.Table) -> pa.Table:
+            chains: dict[int, list[list]] = {}
+            keys, ids, ties, counts = (table.column(c).to_pylist() for c in ("key", "id", "tie", "n"))
+            texts = table.column("text").cast(pa.large_binary())
+            for at, (key, text) in enumerate(zip(keys, texts, strict=True)):
                 text = text.as_py()
                 chain = chains.setdefault(key, [])
                 for entry in chain:
                     if entry[0] == text:
-                        entry[2] += 1
-                        if i is not None and (entry[1] is None or i > entry[1]):
-                            entry[1] = i
+                        entry[2] += counts[at]
+                        if _later((ids[at], ties[at]), (ids[entry[1]], ties[entry[1]])):
+                            entry[1] = at
                         break
                 else:
-                    chain.append([text, i, 1])
-                    held += len(text) + 100
-                if held > FOLD_BYTES:
-                    yield entries()
-                    chains.clear()
-                    held = 0
-        if chains:
-            yield entries()
-
-    return run
+                    chain.append([text, at, counts[at]])
+            stay = [(at, n) for chain in chains.values() for _, at, n in chain]
+            out = table.take(pa.array([at for at, _ in stay], pa.int64()))
+            return out.set_column(out.schema.get_field_index("n"), "n", pa.array([n for _, n in stay], pa.int64()))
 
+        def entries(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = table.column("key").to_numpy().view(np.uint64)
+            own = owners[(key >> np.uint64(64 - depth)).astype(np.int64)] if depth else np.zeros(len(key), np.int32)
+            yield from table.add_column(0, "owner", pa.array(own, pa.int32())).to_batches(max_chunksize=5_000)
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
-    chain: list[list] = []
-    key = bucket = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.nbytes > FOLD_BYTES:
+                held = fold(held)
+                if held.nbytes > FOLD_BYTES // 2:
+                    yield from entries(held)
+                    held = None
+        if held is not None and held.num_rows:
+            yield from entries(fold(held))
 
-    def close() -> None:
-        for place, (text, most, n) in enumerate(chain):
-            out.append((bucket, key, place, hashlib.sha256(text).hexdigest(), most, n))
+    return run
 
-    def flush() -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "key", "place", "text_sha256", "keep_id", "group_size"])
-        out.clear()
-        return batch
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a distinct text, ``place`` in its key's chain before the columns of the entries, which come sorted by key."""
+    chain: list[list] = []  # text, id and tie, copies, the entry's own row
+    key = None
     for batch in batches:
-        columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()]
-        for b, k, text, most, n in zip(*columns, strict=True):
+        done: list[tuple[int, int, pa.RecordBatch]] = []
+        keys, ids, ties, counts = (batch.column(c).to_pylist() for c in ("key", "id", "tie", "n"))
+        for at, (k, text) in enumerate(zip(keys, batch.column("text").cast(pa.large_binary()), strict=True)):
             text = text.as_py()
             if k != key:
-                close()
-                bucket, key, chain = b, k, []
+                done += [(place, n, row) for place, (_, _, n, row) in enumerate(chain)]
+                key, chain = k, []
+            own = (ids[at], ties[at])
             for entry in chain:
                 if entry[0] == text:
-                    entry[2] += n
-                    if most is not None and (entry[1] is None or most > entry[1]):
-                        entry[1] = most
+                    entry[2] += counts[at]
+                    if _later(own, entry[1]):
+                        entry[1], entry[3] = own, (batch, at)
                     break
             else:
-                chain.append([text, most, n])
-        if len(out) > 5_000:
-            yield flush()
-    close()
-    if out:
-        yield flush()
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: ``(bucket, key, place, text_sha256, keep_id, group_size)``, a row a distinct text, in the shared folder."""
-    spark = docs.sparkSession
-    owners = shuffle_partitions(spark)
-    text = whole_text(text_col)
+                chain.append([text, own, counts[at], (batch, at)])
+        # the open chain's rows leave this batch, so that it can go
+        for entry in chain:
+            if entry[3][0] is batch and batch.num_rows > 1:
+                entry[3] = (batch.take(pa.array([entry[3][1]])), 0)
+        if done:
+            yield _gathered(done)
+    if chain:
+        yield _gathered([(place, n, row) for place, (_, _, n, row) in enumerate(chain)])
+
+
+def _gathered(done: list[tuple]) -> pa.RecordBatch:
+    parts: list[tuple[pa.RecordBatch, list[int]]] = []
+    for _, _, (batch, at) in done:
+        if not parts or parts[-1][0] is not batch:
+            parts.append((batch, []))
+        parts[-1][1].append(at)
+    table = pa.Table.from_batches([b.take(pa.array(at, pa.int64())) for b, at in parts])
+    table = table.set_column(table.schema.get_field_index("n"), "n", pa.array([n for _, n, _ in done], pa.int64()))
+    return table.add_column(0, "place", pa.array([p for p, _, _ in done], pa.int32())).combine_chunks().to_batches()[0]
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _own(batches):
+        digests = [hashlib.sha256(t.as_py()).hexdigest() for t in batch.column("text").cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("place"), pa.array(digests, pa.string()), batch.column("id"), batch.column("n")], ["key", "place", "text_sha256", "keep_id", "group_size"])
+
+
+def _owned(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> tuple[DataFrame, Directory]:
+    """The folded entries of ``docs`` with their columns ``more``, at their owners, in the order of their keys."""
+    owners = shuffle_partitions(docs.sparkSession)
+    text = whole_text(f"`{text_col}`")
     found = directory_for(docs.select(F.xxhash64(text).alias("key")), owners)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    folded = rows.mapInArrow(_fold(found.slots, found.global_depth), "bucket int, key long, text binary, most long, n long")
-    owned = folded.repartition(owners, "bucket").sortWithinPartitions("bucket", "key")
-    return materialize(owned.mapInArrow(_own, "bucket int, key long, place int, text_sha256 string, keep_id long, group_size long"), "exact-index")
+    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"), *(more or [F.lit(0).cast("long").alias("tie")]), F.lit(1).cast("long").alias("n"))
+    schema = T.StructType([T.StructField("owner", T.IntegerType()), *rows.schema.fields])
+    folded = rows.mapInArrow(_fold(found.slot_owners(owners), found.global_depth), schema)
+    return folded.repartitionById(owners, F.col("owner")).drop("owner").sortWithinPartitions("key"), found
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Directory]:
+    """The index, a row a distinct text, ``(bucket, key, place, text_sha256, keep_id, group_size)``, in the shared folder, and its directory."""
+    owned, found = _owned(docs, id_col, text_col)
+    entries = owned.mapInArrow(_indexed, "key long, place int, text_sha256 string, keep_id long, group_size long")
+    return _placed(materialize(entries, "exact-index"), found), found
+
+
+def _placed(rows: DataFrame, found: Directory) -> DataFrame:
+    """``rows`` with the ``bucket`` of their key, looked up in the directory, which is broadcast."""
+    return rows.withColumn("slot", found.slot(F.col("key"))).join(F.broadcast(found.table(rows.sparkSession)), "slot").drop("slot")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,18 +238,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one of them). A null id stays only in a group without other ids. An empty
     table gives an empty result; columns other than id and text aren't read.
     """
-    index = build_index(docs, id_col, text_col)
+    index, found = build_index(docs, id_col, text_col)
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))
-    joined = rows.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
+    joined = _placed(rows, found).join(index.select("bucket", "key", "text_sha256", "keep_id", "group_size"), ["bucket", "key", "text_sha256"])
     return joined.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one row of each distinct text."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__kept_sha256"))
-    # one row for each text: ids that repeat with the same text are one entry here
-    kept = kept.distinct()
-    same = docs.withColumn("__sha256", F.sha2(F.encode(whole_text(text_col), "UTF-8"), 256)).alias("d")
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")) & (F.col("d.__sha256") == F.col("k.__kept_sha256"))
-    return same.join(kept.alias("k"), on, "left_semi").dropDuplicates([id_col, "__sha256"]).drop("__sha256")
+    """The rows of ``docs`` that stay, with all their columns: one row of each distinct text.
+
+    That is the row of the largest id; a null id stays only in a group without
+    other ids. Of rows that repeat text and id the one whose other columns have the
+    smallest hash stays. A null text equals the empty one, and the row that stays
+    has its own. Columns may have any name; an empty table gives an empty result.
+    """
+    plain = docs.schema[text_col].dataType == T.StringType()
+    others = [c for c in docs.columns if c != text_col or not plain]
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias("no_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    rest = [F.col(f"`{c}`") for c in others if c != text_col]
+    owned, _ = _owned(docs, id_col, text_col, F.xxhash64(F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("tie"), row.alias("row"))
+    out = owned.mapInArrow(_own, T.StructType([T.StructField("place", T.IntegerType()), *owned.schema.fields]))
+    back = {c: F.col(f"row.c{i}") for i, c in enumerate(others)}
+    if plain:
+        back[text_col] = F.when(~F.col("row.no_text"), F.col("text"))
+    return out.select(*[back[c].alias(c) for c in docs.columns])
