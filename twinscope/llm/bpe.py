@@ -17,10 +17,14 @@ these come before ``r`` in the list, so one pass in order gives all bounds.
 from __future__ import annotations
 
 import codecs
+import functools
+import heapq
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Words that a worker keeps with their ids; beyond it the store starts anew.
+#: Chunks that a worker keeps with their ids; beyond it the store starts anew.
 CACHE_WORDS = 1 << 17
+#: Characters of a text that are looked at in one go; a chunk longer than this is fed in fragments.
+STEP = 1 << 16
+#: Only chunks of at most so many characters are kept.
+_KEPT_CHARS = 64
+#: A list of symbols longer than this is merged through a heap.
+_SHORT = 48
 
 
 def byte_alphabet() -> list[str]:
@@ -78,20 +88,25 @@ class BpeModel:
         older = spaced.replace("\\p{L}", "[\\p{L}--[" + LATER + "]]").replace("\\p{N}", "[\\p{N}--[" + LATER + "]]")
         self.older_words = regex.compile(older, regex.V1)
         self.later = regex.compile("[" + LATER + "]")
+        # the runs of one kind that a word can be; where numbers make no runs a word of a number is that one alone
+        self.spaced = "\\s" in pattern.replace("[^\\s", "")
+        letter, number = ("[\\p{%s}--[%s]]" % (k, LATER) for k in "LN")
+        self.runs = [regex.compile(x, regex.V1) for x in (f"{letter}++", f"[[^{SPACE}]--{letter}--{number}]++", *[f"{number}++"] * ("\\p{N}+" in pattern))]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.byte_decoder = (own.get("decoder") or {}).get("type") == "ByteLevel"
         self.alphabet = byte_alphabet()
         self.longest = max(map(len, self.vocab))
         self.lookahead = sufficient_lookahead(merges, self.end)
-        self.window = self.longest + self.lookahead + 2
+        self.window = self.longest + 4 * self.lookahead + 2
 
     def symbols(self, word: str) -> list[str]:
-        own = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
-        own[-1] += self.end
-        return own
+        """A symbol a byte, without the word-end mark."""
+        return list(map(self.alphabet.__getitem__, word.encode("utf-8", "surrogatepass")))
 
     def merged(self, symbols: list[str]) -> list[str]:
         """All merges applied: always the pair of the lowest rank, the leftmost of equal ones."""
+        if len(symbols) > _SHORT:
+            return self._merged_long(symbols)
         rank, none = self.rank, len(self.rank)
         ranks = [rank.get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
         while ranks and (least := min(ranks)) < none:
@@ -104,22 +119,31 @@ class BpeModel:
                 ranks[i] = rank.get((symbols[i], symbols[i + 1]), none)
         return symbols
 
-    def stream(self, symbols: list[str]) -> Iterator[str]:
-        """The tokens of one word's symbols, from a window of bounded size."""
-        at, size = 0, len(symbols)
-        while size - at > self.window:
-            end = at
-            for token in self.merged(symbols[at : at + self.window]):
-                end += len(token)  # no symbol inside the window carries the word-end mark
-                if end + self.lookahead + 1 > at + self.window:
-                    end -= len(token)
-                    break
-                yield token
-            at = end
-        yield from self.merged(symbols[at:])
+    def _merged_long(self, symbols: list[str]) -> list[str]:
+        """``merged`` with the candidate pairs in a heap; a symbol that a merge took is None."""
+        rank, size = self.rank, len(symbols)
+        own: list[str | None] = list(symbols)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if own[i] is None or j == size or rank.get((own[i], own[j])) != r:
+                continue
+            own[i], own[j] = own[i] + own[j], None
+            after[i] = j = after[j]
+            if j < size:
+                before[j] = i
+                if (r := rank.get((own[i], own[j]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank.get((own[h], own[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [x for x in own if x is not None]
 
     def word_ids(self, word: str) -> list[int]:
-        return [self.vocab[t] for t in self.stream(self.symbols(word)) if t in self.vocab]
+        own = Transducer(self)
+        return [self.vocab[t] for t in [*own.feed(word), *own.finish()] if t in self.vocab]
 
     def split(self, text: str) -> list[str]:
         """The words of a normal text."""
@@ -127,14 +151,17 @@ class BpeModel:
             return self.older_words.findall(text)
         return self.words.findall(text)
 
-    def segments(self, text: str) -> Iterator[tuple[bool, str]]:
-        """The text cut at the strings of special tokens: ``(is special, part)``."""
-        if self.special is None or not any(s in text for s in self.added):
-            yield False, text
-            return
-        for i, part in enumerate(self.special.split(text)):
-            if part:
-                yield bool(i % 2), part
+    def segments(self, text: str) -> Iterator[tuple[str | None, int, int]]:
+        """The text cut at the strings of special tokens: ``(the token or None, start, end)``."""
+        at = 0
+        if self.special is not None and any(s in text for s in self.added):
+            for m in self.special.finditer(text):
+                if m.start() > at:
+                    yield None, at, m.start()
+                yield m[0], m.start(), m.end()
+                at = m.end()
+        if at < len(text):
+            yield None, at, len(text)
 
     def normal(self, text: str) -> str:
         if self.nfc and not text.isascii():
@@ -176,34 +203,164 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
     return most
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit integers, filled on demand, of bounded size."""
+class Long(NamedTuple):
+    """Where a chunk lies that is longer than a step."""
+
+    start: int
+    end: int
+
+
+_CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_EDGE = re.compile(f"[^{SPACE}][{SPACE}]")
+_BLACK = re.compile(f"[^{SPACE}]")
+
+
+def chunk_lists(text: str, start: int = 0, end: int | None = None, step: int = STEP) -> Iterator[list[str] | Long]:
+    """The text cut before each white space that follows another character; lists of about ``step`` characters in all."""
+    end = len(text) if end is None else end
+    while start < end:
+        stop = min(end, start + step)
+        found = _CHUNK.findall(text, start, stop)
+        if stop < end:
+            tail = found.pop()  # it may go on
+            stop -= len(tail)
+            if not found:
+                edge = _EDGE.search(text, start, end)
+                stop = edge.start() + 1 if edge else end
+                yield Long(start, stop)
+        if found:
+            yield found
+        start = stop
+
+
+@functools.cache
+def _joining() -> frozenset[str]:
+    """Characters that composition can join to what stands before them."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    vowels, tails = range(0x1161, 0x1176), range(0x11A8, 0x11C3)  # of Hangul
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<") | frozenset(map(chr, (*vowels, *tails)))
+
+
+def _begins(c: str) -> bool:
+    """Whether normalising the text before ``c`` and from ``c`` on apart changes nothing."""
+    return c < "\u0300" or (not unicodedata.combining(c) and c not in _joining())
+
+
+class Transducer:
+    """Parts of one word in, tokens out once nothing to their right can change them."""
 
     def __init__(self, model: BpeModel):
         self.model = model
+        self.held: list[str] = []
+
+    def _stable(self, spare: int) -> Iterator[str]:
+        model, at = self.model, 0
+        while len(self.held) - at > model.window + spare:
+            end = 0
+            for token in model.merged(self.held[at : at + model.window]):
+                if end + len(token) + model.lookahead + 1 > model.window:
+                    break
+                end += len(token)  # a character a symbol: none inside the window carries the word-end mark
+                yield token
+            at += end
+        del self.held[:at]
+
+    def feed(self, part: str) -> Iterator[str]:
+        self.held += self.model.symbols(part)
+        # the last symbol waits, for it may turn out to be the word's end
+        yield from self._stable(1)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.model.word_ids(word), dtype="<i4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def finish(self) -> Iterator[str]:
+        if self.held:
+            self.held[-1] += self.model.end
+            yield from self._stable(0)
+            yield from self.model.merged(self.held)
+            self.held = []
 
 
 class Encoder:
-    def __init__(self, model: BpeModel):
-        self.model, self.known = model, WordIds(model)
+    def __init__(self, model: BpeModel, step: int = STEP):
+        self.model, self.step = model, step
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
-        out = []
-        for special, part in self.model.segments(text):
-            if special:
-                out.append(np.array([self.model.added[part]], dtype="<i4").tobytes())
+        return b"".join(self.stream(text))
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The same ids, part by part."""
+        model, known = self.model, self.known
+        for special, start, end in model.segments(text):
+            if special is not None:
+                yield _packed([model.added[special]])
+                continue
+            for chunks in chunk_lists(text, start, end, self.step):
+                if isinstance(chunks, Long):
+                    yield from self._long(text, chunks)
+                    continue
+                new = set(chunks).difference(known)
+                if len(known) + len(new) > CACHE_WORDS:
+                    known.clear()
+                    new = set(chunks)
+                for c in new:
+                    known[c] = _packed([i for w in model.split(model.normal(c)) for i in model.word_ids(w)])
+                yield b"".join(map(known.__getitem__, chunks))
+                for c in new:
+                    if len(c) > _KEPT_CHARS:
+                        del known[c]
+
+    def _long(self, text: str, where: Long) -> Iterator[bytes]:
+        """A chunk in fragments: a word that reaches a fragment's end stays open for the next one."""
+        model, vocab = self.model, self.model.vocab
+        ids = lambda tokens: _packed([vocab[t] for t in tokens if t in vocab])
+        start, end = where
+        black = _BLACK.search(text, start, end)
+        if (gap := black.start() if black else end) - start > 1:
+            blank = gap - 1 if black else gap  # the last white space belongs to the word after it, if there is one
+            if model.spaced:
+                own = Transducer(model)
+                for at in range(start, blank, self.step):
+                    yield ids(own.feed(text[at : min(at + self.step, blank)]))
+                yield ids(own.finish())
+            start = blank
+        rest, open_run, own = "", None, Transducer(model)
+        while start < end:
+            stop = min(end, start + self.step)
+            while stop < end and not _begins(text[stop]):
+                stop += 1
+            part = rest + model.normal(text[start:stop])
+            start, rest = stop, ""
+            if open_run is not None:
+                m = open_run.match(part)
+                if m:
+                    yield ids(own.feed(m[0]))
+                    part = part[m.end() :]
+                if part:
+                    yield ids(own.finish())
+                    open_run = None
+            if not part:
+                continue
+            words = [(m.start(), m[0]) for m in model.older_words.finditer(part)]
+            if start < end:
+                # a contraction may begin in the last three characters
+                while words and words[-1][0] >= len(part) - 3:
+                    rest = part[words.pop()[0] :]
+                if not rest and words and words[-1][0] + len(words[-1][1]) == len(part):
+                    last = words.pop()[1]
+                    open_run = next(r for r in model.runs if r.match(last[-1]))
+                    own = Transducer(model)
+                    opened = ids(own.feed(last))
+                else:
+                    opened = b""
             else:
-                out += map(self.known.__getitem__, self.model.split(self.model.normal(part)))
-        return b"".join(out)
+                opened = b""
+            yield _packed([i for _, w in words for i in model.word_ids(w)])
+            yield opened
+        yield ids(own.finish())
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<i4").tobytes()
 
 
 class Decoder:
@@ -211,7 +368,8 @@ class Decoder:
 
     def __init__(self, model: BpeModel):
         self.tokens, self.bytes = model.tokens, model.byte_decoder
-        self.back = {c: b for b, c in enumerate(model.alphabet)}
+        back = {c: b for b, c in enumerate(model.alphabet)}
+        self.raw = [bytes(map(back.__getitem__, t)) if all(c in back for c in t) else t.encode() for t in self.tokens] if self.bytes else []
         self.reset()
 
     def reset(self) -> None:
@@ -219,24 +377,23 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        tokens = self.tokens
-        if not self.bytes:  # tokens are text already: one space between them
-            text = " ".join([tokens[i] for i in ids])
-            if not self.begun:
-                self.begun = bool(text)
-                return text
-            return " " + text if text else ""
-        back = self.back
-        return self.utf8.decode(b"".join(bytes(map(back.__getitem__, tokens[i])) if all(c in back for c in tokens[i]) else tokens[i].encode() for i in ids))
+        if self.bytes:
+            return self.utf8.decode(b"".join(map(self.raw.__getitem__, ids)))
+        text = " ".join(map(self.tokens.__getitem__, ids))  # tokens are text already: one space between them
+        if not self.begun:
+            self.begun = bool(text)
+            return text
+        return " " + text if text else ""
 
     def finish(self) -> str:
         rest = self.utf8.decode(b"", True)
         self.reset()
         return rest
 
-    def decode(self, ids: list[int], step: int = 1 << 16) -> str:
+    def decode(self, ids: np.ndarray | list[int], step: int = 1 << 16) -> str:
         self.reset()
-        parts = [self.feed(ids[at : at + step]) for at in range(0, len(ids), step)]
+        ids = np.asarray(ids, dtype=np.int64)
+        parts = [self.feed(ids[at : at + step].tolist()) for at in range(0, len(ids), step)]
         return "".join(parts) + self.finish()
 
 
@@ -292,7 +449,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with a column of the text of their ids, special tokens included; null ids give the empty text."""
+    """``rows`` with a column of the text of their ids, special tokens included.
+
+    Null or no ids give the empty text. Bytes that make no character become
+    U+FFFD. Rows may repeat; an existing column ``text_col`` is replaced; all other
+    columns pass through; an empty table gives an empty result.
+    """
     spec = shared_spec(rows.sparkSession, path)
     names = rows.columns
     source = names.index(ids_col)
@@ -303,7 +465,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
         for batch in batches:
             at, parts, held = 0, [], 0
             for i, ids in enumerate(batch.column(source)):
-                parts.append(decoder.decode(ids.values.to_numpy().tolist() if ids.is_valid and len(ids) else []))
+                parts.append(decoder.decode(ids.values.to_numpy() if ids.is_valid and len(ids) else []))
                 held += len(parts[-1])
                 if held > 4 << 20 or i == batch.num_rows - 1:
                     yield _append(batch, at, keep, text_col, pa.array(parts, pa.string()))
