@@ -3,14 +3,15 @@
 A document's ids and a closing id 0 are cut into pieces whose lengths are powers
 of two, the largest first: as many of the full length as fit, then the binary
 digits of the rest. Every piece is a sequence of its own, so no sequence crosses
-documents and none has padding. Sequences of one length form a bucket: their
-numbers are consecutive. Numbering counts the pieces of each task and length
-once they are written, so that a task that runs again changes nothing.
+documents and none has padding. Sequences of one length form a bucket. A
+sequence's number holds its bucket in the highest bits, then the task, then its
+place among the task's pieces of that length: a bucket is one range of numbers,
+and no row has to reach the driver to number them.
 """
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import GPT_WORDS, byte_alphabet, shared_spec
+from .bpe import CACHE_WORDS, Long, chunk_lists, shared_spec
 from .shared import materialize
 
 MAX_LENGTH = 1024
-#: tiktoken's pattern keeps a state for each character of a white-space run and panics near a million of them.
-SAFE_SPACES = 100_000
-_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{SAFE_SPACES}}}")
+#: Bits of a sequence number for the task and for the place; above them is the bucket, log2 of the length.
+TASK_BITS, PLACE_BITS = 24, 34
+_BATCH = 1000
+_KEPT_CHARS = 64
 
 
 def cuts(size: int, most: int = MAX_LENGTH) -> list[tuple[int, int]]:
@@ -40,67 +42,76 @@ def cuts(size: int, most: int = MAX_LENGTH) -> list[tuple[int, int]]:
 
 
 class LibraryIds:
-    """Ids as little-endian 32-bit integers, equal to those of the tokenizers library.
+    """Ids as little-endian 32-bit integers, from the tokenizers library.
 
-    tiktoken applies the same vocabulary: in a byte-level BPE each token has one
-    merge, and ids rise with the merges' ranks, so both give the same ids, the
-    former in a fraction of the time. Texts with a special token's string, which
-    only the tokenizers library knows, go through that library, and so do texts
-    with a white-space run of ``SAFE_SPACES`` or more, on which tiktoken fails.
+    The byte-level pre-tokenizer always cuts before white space that follows
+    another character: no alternative of its pattern crosses that place and none
+    looks back. So a text is cut there, and each chunk (a run of white space and
+    what follows) has the same ids alone. Ids of short chunks are kept; the
+    others go through the library, a batch at a time.
     """
 
     def __init__(self, spec: bytes):
-        import json
-
-        import tiktoken
-
-        own = json.loads(spec)
-        self.spec, self.library = spec, None
-        self.added = [t["content"] for t in own["added_tokens"]]
-        back = {c: b for b, c in enumerate(byte_alphabet())}
-        special = set(self.added)
-        ranks = {bytes(map(back.__getitem__, token)): i for token, i in own["model"]["vocab"].items() if token not in special}
-        self.fast = tiktoken.Encoding("own", pat_str=GPT_WORDS, mergeable_ranks=ranks, special_tokens={})
-
-    def direct(self, text: str) -> bytes:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        if self.library is None:
-            self.library = Tokenizer.from_str(self.spec.decode())
-            self.library.no_truncation()
-            self.library.no_padding()
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.library = Tokenizer.from_str(spec.decode())
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> list[str]:
+        """Make all ``chunks`` known; those too long to be kept are returned."""
+        for at in range(0, len(chunks), _BATCH):
+            part = chunks[at : at + _BATCH]
+            for chunk, found in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
+                self.known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+        return [c for c in chunks if len(c) > _KEPT_CHARS]
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.added) or (len(text) >= SAFE_SPACES and _LONG_SPACE.search(text)):
-            return self.direct(text)
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
+        out = []
+        for chunks in chunk_lists(text):
+            if isinstance(chunks, Long):
+                ids = self.library.encode(text[chunks.start : chunks.end], add_special_tokens=False).ids
+                out.append(np.array(ids, dtype="<u4").tobytes())
+                continue
+            new = set(chunks).difference(self.known)
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+                new = set(chunks)
+            long = self._learn(list(new)) if new else ()
+            out += map(self.known.__getitem__, chunks)
+            for c in long:
+                del self.known[c]
+        return b"".join(out)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LENGTH) -> DataFrame:
     """``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``: a row a piece.
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers,
-    ``doc_tokens`` counts the document's ids with the closing one, and ``offset`` is
-    0. A null or empty text is one piece with the closing id. Rows that repeat
+    ``doc_tokens`` counts the document's ids with the closing one, ``sequence_id`` is
+    unique and falls into one range for each length, and ``offset`` is 0. A null or empty text is one piece with the closing id. Rows that repeat
     are packed each; other columns aren't read; an empty table gives an empty
     result.
     """
-    if most < 1 or most & (most - 1):
-        raise ValueError("the length of a sequence must be a power of two")
+    if not 0 < most <= 1 << 30 or most & (most - 1):
+        raise ValueError("the length of a sequence must be a power of two, 2**30 at most")
     spec = shared_spec(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = LibraryIds(spec.value)
         task = TaskContext.get().partitionId()
+        if task >> TASK_BITS:
+            raise ValueError(f"more than {1 << TASK_BITS} tasks")
         begun: dict[int, int] = {}
         rows: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "task", "place"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id"])
             rows.clear()
             held = 0
             return batch
@@ -112,7 +123,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 for start, length in cuts(size, most):
                     place = begun.get(length, 0)
                     begun[length] = place + 1
-                    rows.append((i, start, length, ids[4 * start : 4 * (start + length)], size, task, place))
+                    bucket = length.bit_length() - 1
+                    rows.append((i, start, length, ids[4 * start : 4 * (start + length)], size, (bucket << TASK_BITS | task) << PLACE_BITS | place))
                 held += len(ids)
                 if held > 4 << 20:
                     yield flush()
@@ -120,13 +132,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield flush()
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(plain.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, task int, place long"), "pieces")
-    # a row a task and length: log2(most) + 1 rows for each task of the scan
-    sizes = pieces.groupBy("length", "task").count().orderBy(F.desc("length"), "task").collect()
-    bases, total = [], 0
-    for r in sizes:
-        bases.append((r["length"], r["task"], total))
-        total += r["count"]
-    base = docs.sparkSession.createDataFrame(bases, "length long, task int, base long")
-    numbered = pieces.join(F.broadcast(base), ["length", "task"])
-    return numbered.select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # written once, so that a number that was handed out stays the same
+    pieces = materialize(plain.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long"), "pieces")
+    return pieces.withColumn("offset", F.lit(0).cast("long"))
