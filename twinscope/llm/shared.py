@@ -20,10 +20,16 @@ _TO_DROP: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only if unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` or ``setCheckpointDir`` names.
+
+    Without either, a private one under a local master (tests); on a cluster that
+    is an error, for a folder of the driver's machine isn't shared.
+    """
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     key = id(spark.sparkContext)
     if key not in _OWN_ROOT:
         _OWN_ROOT[key] = "file://" + tempfile.mkdtemp(prefix="twinscope-")
