@@ -1,6 +1,8 @@
 """Known values, invariants and edge cases of the measures."""
 
 import math
+from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -35,6 +37,20 @@ def one(df):
     return df.first()[0]
 
 
+@contextmanager
+def session(spark, ranges):
+    """As many ranges as that, none of them joined."""
+    own = {"spark.sql.shuffle.partitions": str(ranges), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_scalar_goldens(spark):
     pairs = lambda *p: spark.createDataFrame([(float(a), float(b)) for a, b in p], "a double, b double")
     assert one(pairs((1, 2)).agg(scalar.mean_absolute_percentage_error("a", "b"))) == 1.0
@@ -90,13 +106,69 @@ def test_distances_of_equal_and_shifted_sides(spark):
 def test_two_level_ecdf(spark, ranges):
     rng = np.random.default_rng(ranges)
     a, b = rng.integers(0, 40, 300), rng.integers(5, 60, 200)
-    rows = dist.ecdf(numbers(spark, [float(x) for x in a], [float(x) for x in b]).long(), ranges).orderBy("value").collect()
+    with session(spark, ranges):
+        rows = dist.ecdf(numbers(spark, [float(x) for x in a], [float(x) for x in b]).long()).orderBy("value").collect()
     values = sorted({*a.tolist(), *b.tolist()})
     assert [r.value for r in rows] == values
     for r, after in zip(rows, [*values[1:], None], strict=True):
         assert (r.cr, r.cf, r.nr, r.nf, r.nxt) == ((a <= r.value).sum(), (b <= r.value).sum(), 300, 200, after)
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_pieces_of_two_quantile_functions(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    a, b = rng.integers(0, 30, 90).astype(float), rng.normal(10, 5, 60).round(0)
+    with session(spark, ranges):
+        pair = numbers(spark, a.tolist(), b.tolist())
+        ranked = [(r.width, r.x, r.y) for r in dist.pieces_of(pair, by_rank=True).collect()]
+        got = dist.wasserstein_1d(pair, p=2).first()["distance"]
+    a, b = np.sort(a), np.sort(b)
+    want = Counter(zip(a[:60], b, strict=True))
+    found = Counter()
+    for w, x, y in ranked:
+        found[x, y] += int(w)
+    assert found == want
+    assert got == pytest.approx(math.sqrt(np.mean((np.repeat(a, 2) - np.repeat(b, 3)) ** 2)))
+
+
+def test_quantile_pairing_keeps_its_digits(spark):
+    """Epoch milliseconds within seconds: raw second moments would lose all of them."""
+    rng = np.random.default_rng(5)
+    a, b = 1.7e12 + rng.integers(0, 3600, 500), 1.7e12 + rng.integers(0, 90, 500) ** 2
+    got = assoc.column_correlations(numbers(spark, a.tolist(), b.tolist())).first()["correlation"]
+    x, y = np.sort(a) - 1.7e12, np.sort(b) - 1.7e12
+    assert got == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+
+
+def test_category_pairing_is_row_by_row(spark):
+    rng = np.random.default_rng(6)
+    make = lambda n: sorted(zip(rng.choice(list("abc"), n).tolist(), rng.choice(list("xyz"), n).tolist(), strict=True))
+    real, fake = make(70), make(50)
+    pair = TablePair.of(*(spark.createDataFrame(rows, "p string, q string") for rows in (real, fake)))
+    for ranges in (1, 5):
+        with session(spark, ranges):
+            got = {r.column: r.correlation for r in assoc.column_correlations(pair).collect()}
+        rows = spark.createDataFrame([(a[0], b[0], a[1], b[1]) for a, b in zip(real, fake, strict=False)], "p string, p2 string, q string, q2 string")
+        want = {r.col_a: r.value for r in assoc.theils_u(rows, [("p", "p2"), ("q", "q2")]).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_measures_of_a_pair_share_one_table(spark):
+    pair = numbers(spark, [1.0, 2.0, 4.0], [1.0, 3.0])
+    dist.ks(pair).collect()
+    table = pair.kept["ecdf", pair.numerical]
+    dist.wasserstein_1d(pair, p=2).collect()
+    basic.statistics_vector(pair).collect()
+    assert pair.kept["ecdf", pair.numerical] is table
+    assert not pair.sampled(2).kept
+
+
+def test_medians_are_exact(spark):
+    for a, b in (([1.0, 2.0, 4.0, 10.0], [3.0]), ([5.0, 5.0, 1.0], [2.0, 8.0])):
+        rows = {r.statistic: (r.real, r.fake) for r in basic.statistics_vector(numbers(spark, a, b)).collect()}
+        assert rows["median"] == (np.median(a), np.median(b))
+
+
 def test_wasserstein_2_of_unequal_sizes(spark):
     rng = np.random.default_rng(2)
     a, b = np.sort(rng.normal(size=60)), np.sort(rng.exponential(size=40))
@@ -117,6 +189,33 @@ def test_sinkhorn(spark):
     near, ok = dist.sinkhorn(x, x, reg=0.01, max_iter=5000)
     far, _ = dist.sinkhorn(x, x + 5, reg=0.01, max_iter=5000)
     assert near < 0.2 and far == pytest.approx(50, rel=0.05)
+    # the same by products of matrices and in the log domain
+    y = np.random.default_rng(1).normal(1, 2, size=(60, 2))
+    cost = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    plain, ok = dist.sinkhorn(x, y)
+    f, g, k = np.zeros(80), np.zeros(60), -cost / (0.1 * cost.mean())
+    for _ in range(1000):
+        f = -np.log(80) - np.log(np.exp(k + g).sum(axis=1))
+        g = -np.log(60) - np.log(np.exp(k + f[:, None]).sum(axis=0))
+    assert ok and plain == pytest.approx((np.exp(k + f[:, None] + g) * cost).sum(), rel=1e-4)
+
+
+def test_transport_plan_moves_all_at_the_cost(spark):
+    rng = np.random.default_rng(4)
+    pair = numbers(spark, rng.normal(size=200).tolist(), rng.exponential(size=150).tolist())
+    plan = dist.transport_plan(pair).collect()
+    assert sum(r.mass for r in plan) == pytest.approx(1)
+    assert sum(r.cost for r in plan) == pytest.approx(dist.transport_cost(pair).first()["cost"])
+
+
+def test_density(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=300), rng.normal(1, 2, size=200)
+    rows = viz.density(numbers(spark, a.tolist(), b.tolist()), points=60).orderBy("at").collect()
+    kde = lambda x, at: np.mean(np.exp(-0.5 * ((at - x) / (x.std(ddof=1) * len(x) ** -0.2)) ** 2)) / (x.std(ddof=1) * len(x) ** -0.2 * math.sqrt(2 * math.pi))
+    assert len(rows) == 60
+    for r in rows:
+        assert r.real == pytest.approx(kde(a, r.at), abs=2e-4) and r.fake == pytest.approx(kde(b, r.at), abs=2e-4)
 
 
 def test_associations(spark):
@@ -194,7 +293,93 @@ def test_k_anonymity_edges(spark):
 
 def test_nearest_row(spark):
     p = numbers(spark, [0.0, 10.0], [1.0, 13.0])
-    assert tuple(privacy.row_distance(p).first()) == (2.0, 1.0)
+    assert tuple(privacy.row_distance(p).first()) == (2.0, 1.0, 2)
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(700, 2)), rng.normal(size=(300, 2))
+    make = lambda x: spark.createDataFrame(x.tolist(), "a double, b double")
+    near = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).min(axis=1)
+    got = privacy.row_distance(TablePair.of(make(a), make(b))).first()
+    assert tuple(got) == (pytest.approx(near.mean()), pytest.approx(near.std()), 700)
+
+
+def test_a_row_that_fills_the_table(spark):
+    """Groups larger than a task's share are written out by several."""
+    df = spark.range(200_000).selectExpr("'x' as a", "cast(null as int) as b")
+    pair = TablePair.of(df.unionByName(spark.createDataFrame([("y", 1)], df.schema)), df.unionByName(spark.createDataFrame([("z", 1)], df.schema)))
+    assert privacy.copies(pair).count() == 200_000
+    assert [tuple(r) for r in privacy.novel_rows(pair).collect()] == [("z", 1)]
+    assert {tuple(r) for r in privacy.duplicates(pair.real).distinct().collect()} == {("x", None, 200_000)} and privacy.duplicates(pair.real).count() == 200_000
+
+
+def test_a_part_that_fails_at_run_time_leaves_the_others(spark):
+    df = spark.range(40).selectExpr("id % 4 as a", "cast(id as double) as x")
+    bad = df.withColumn("x", F.when(F.col("x") >= 0, F.raise_error(F.lit("broken"))).cast("double"))
+    found, _ = privacy.privacy_evaluation(TablePair.of(df, bad, cat_cols=["a"]), ["a"], membership=False)
+    assert "error" in found["row_distance"].columns and "broken" in found["row_distance"].first()["error"]
+    assert found["k_anonymity"].first()["k"] == 10
+
+
+def test_many_categories(spark):
+    df = spark.range(200_000).select(F.format_string("v%06d", (F.col("id") * 7919) % 200_000).alias("c"))
+    pair = encode.factorize(TablePair.of(df, spark.createDataFrame([("v000007",), (None,), ("zz",)], "c string")))
+    assert sorted(r.c for r in pair.fake.where("c is not null").collect()) == [7, 200_000]
+    assert pair.real.agg(F.countDistinct("c"), F.min("c"), F.max("c")).first() == (200_000, 0, 199_999)
+    assert "v0" not in pair.real._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        encode.one_hot(TablePair.of(df, df))
+
+
+def test_rbf_kernel(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(60, 2)), rng.normal(4, 1, size=(45, 2))
+    make = lambda v: spark.createDataFrame(v.tolist(), "a double, b double")
+    d2 = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    own = lambda m: 1 / (2 * np.median(np.sqrt(m[m > 0])) ** 2)
+    k = [np.exp(-own(m) * m) for m in (d2(x, x), d2(y, y), d2(x, y))]
+    want = (k[0].sum() - 60) / (60 * 59) + (k[1].sum() - 45) / (45 * 44) - 2 * k[2].mean()
+    got = kernel.mmd_rbf(TablePair.of(make(x), make(y))).first()
+    assert (got.mmd_squared, got.n_real, got.n_fake) == (pytest.approx(want), 60, 45)
+    each = {r.column: r.mmd_squared for r in kernel.mmd_column_wise(TablePair.of(make(x), make(y))).collect()}
+    k = [np.exp(-own(m) * m) for m in (d2(x[:, :1], x[:, :1]), d2(y[:, :1], y[:, :1]), d2(x[:, :1], y[:, :1]))]
+    assert each["a"] == pytest.approx((k[0].sum() - 60) / (60 * 59) + (k[1].sum() - 45) / (45 * 44) - 2 * k[2].mean())
+
+
+def test_classifiers_are_as_stated():
+    own = ml.classifiers(1000, 3, 2)["LogisticRegression"]
+    assert own.getMaxIter() == 500 and not own.getStandardization()
+
+
+def test_train_test_on_synthetic(spark):
+    rows = [(float(i % 10), float(i % 7), "hi" if i % 10 > 4 else "lo") for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, y string")
+    turned = df.withColumn("y", F.when(F.col("y") == "hi", "lo").otherwise("hi"))
+    same = ml.train_test_on_synthetic(TablePair.of(df, df), "y").first()
+    assert (same.metric, same.ratio, same.difference) == ("accuracy", 1.0, 0.0)
+    wrong = ml.train_test_on_synthetic(TablePair.of(df, turned), "y").first()
+    assert wrong.synthetic_score == 0 and wrong.difference == 1
+    assert {r.metric for r in ml.train_test_on_synthetic(TablePair.of(df, df), "b", "regression").collect()} == {"mse", "mae", "r2"}
+
+
+def test_text_columns_that_fail_have_an_error(spark):
+    df = spark.createDataFrame([("hello world", "a b"), ("good day", "c d")], "t string, u string")
+    bad = df.withColumn("u", F.when(F.length("u") > 0, F.raise_error(F.lit("broken"))).cast("string"))
+    report = FidelityReport(TablePair.of(df, bad, text_cols=["t", "u"]))
+    rows = {r.column: r for r in report.text()[0].collect()}
+    assert rows["t"].error is None and rows["t"].overall is not None
+    assert "broken" in rows["u"].error and rows["u"].overall is None
+    summary = report.text_summary().first()
+    assert (summary.type, summary.columns) == ("text", 1) and "broken" in summary.error
+
+
+def test_corpus_statistics_and_five_scores(spark):
+    pair = texts(spark, ["one two three", "", None], ["one"])
+    rows = {r.side: r for r in text.corpus_statistics(pair, "t").collect()}
+    assert (rows[1].n_texts, rows[1].n_empty, rows[1].vocabulary_size, rows[1].mean_words) == (2, 2, 3, 1.5)
+    assert (rows[0].n_texts, rows[0].vocabulary_size) == (1, 1)
+    row = text.text_similarity(texts(spark, ["hello world", "test it"], ["hello world", "test it"]), "t").first()
+    assert tuple(row) == (1, 1, 1, pytest.approx(1), pytest.approx(1))
+    p = text.length_similarity(texts(spark, [], []), "t").first()
+    assert (p.p_value, p.significant) == (0, True)
 
 
 def test_encodings(spark, small):
@@ -253,6 +438,11 @@ def test_metric_registry():
     assert basic.metric(lambda a, b: (0.5, 0.1))([1], [2]) == 0.5
     with pytest.raises(ValueError):
         basic.metric("nothing")
+    x, y = [1.0, 2.0, 3.0, 4.0], [1.0, 3.0, 2.0, 4.0]
+    assert basic.metric("linregress")(x, y) == pytest.approx(0.8)
+    assert basic.metric("somersd")(x, y) == pytest.approx(4 / 6)
+    assert basic.metric("weightedtau")(x, x) == 1 and basic.metric("weightedtau")(x, x[::-1]) == -1
+    assert basic.metric("weightedtau")([12, 2, 1, 12, 2], [1, 4, 7, 1, 0]) == pytest.approx(-0.56694968)
 
 
 def test_loading(spark, tmp_path):
@@ -289,6 +479,9 @@ def test_report(spark, small):
         FidelityReport(small).evaluate("nothing")
     parts, advice = FidelityReport(small).privacy(membership=False)
     assert "risk" in parts and advice
+    assert "rating" in FidelityReport(small).wasserstein(include_2d=True).columns
+    assert FidelityReport(small, Settings(n_samples_distance=3)).size_notes()
+    assert FidelityReport(small).row_distance().count() == 1
     assert set(FidelityReport(small).plots()) >= {"mean_std", "cumulative", "histogram", "categories"}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,7 +39,7 @@ def correlation(a: Column | str, b: Column | str) -> Column:
 
 
 def weighted_correlation(a: Column | str, b: Column | str, w: Column | str) -> Column:
-    """Pearson of pairs that occur ``w`` times each; null if either side is constant."""
+    """Pearson of pairs that occur ``w`` times each; null if either side is constant. Both should have means near 0: see ``weighted_correlations``."""
     x, y, n = _d(a), _d(b), _d(w)
     total = F.sum(n)
     xy = F.sum(n * x * y) - F.sum(n * x) * F.sum(n * y) / total
@@ -48,6 +48,14 @@ def weighted_correlation(a: Column | str, b: Column | str, w: Column | str) -> C
     return F.try_divide(xy, F.sqrt(F.greatest(xx, F.lit(0.0))) * F.sqrt(F.greatest(yy, F.lit(0.0))))
 
 
+def weighted_correlations(df: DataFrame, key: str, a: str, b: str, w: str) -> DataFrame:
+    """``(key, correlation)``: Pearson for each key of pairs that occur ``w`` times; the means are taken off first, so that no digits are lost."""
+    mean = lambda c: F.sum(_d(w) * _d(c)) / F.sum(_d(w))
+    means = df.groupBy(key).agg(mean(a).alias("__ma"), mean(b).alias("__mb"))  # a row a key
+    off = df.join(F.broadcast(means), key).select(key, (_d(a) - F.col("__ma")).alias("__a"), (_d(b) - F.col("__mb")).alias("__b"), _d(w).alias("__w"))
+    return off.groupBy(key).agg(weighted_correlation("__a", "__b", "__w").alias("correlation"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

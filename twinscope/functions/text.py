@@ -26,20 +26,3 @@ SQL_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\pL\pN_\pM]+')"
 
 def without_stop_words(words: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
-
-
-def term_list(words: Column, ngram_range: tuple[int, int] = (1, 2)) -> Column:
-    """All n-grams of the sizes in the range, words joined by one space."""
-    low, high = ngram_range
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(words)
-        else:
-            at = F.sequence(F.lit(1), F.size(words) - n + 1)
-            parts.append(F.when(F.size(words) >= n, F.transform(at, _joined(words, n))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
-
-
-def _joined(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, n), " ")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clamp, correlation, weighted_correlation
+from ..functions.scalar import clamp, correlation, weighted_correlation, weighted_correlations
 from ..pair import TablePair, is_numeric
-from .dist import ecdf
+from .dist import ecdf, merged, pieces_of
+from .ordered import ordered
 
 EPSILON = 1e-10
 #: Rows of a Kendall range, and the most levels (two to that power of ranges).
@@ -17,12 +19,13 @@ LEAF_ROWS = 50_000
 MAX_LEVELS = 10
 
 
-def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(col_a, col_b, a, b, n)`` of all pairs in one pass; rows with a null in the pair are left out."""
+def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: str | None = None) -> DataFrame:
+    """``(col_a, col_b, a, b, n)`` of all pairs in one pass, a row counting ``weight`` times; rows with a null in the pair are left out."""
     text = lambda c: F.col(c).cast("string")
     parts = F.array(*[F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), text(x).alias("a"), text(y).alias("b")) for x, y in pairs])
-    each = df.select(F.explode(parts).alias("e")).select("e.*").where("a is not null and b is not null")
-    return each.groupBy("col_a", "col_b", "a", "b").agg(F.count("*").alias("n"))
+    times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    each = df.select(times.alias("times"), F.explode(parts).alias("e")).select("times", "e.*").where("a is not null and b is not null")
+    return each.groupBy("col_a", "col_b", "a", "b").agg(F.sum("times").alias("n"))
 
 
 def _margins(table: DataFrame) -> DataFrame:
@@ -34,9 +37,9 @@ def _margins(table: DataFrame) -> DataFrame:
     return table.join(rows, [*key, "a"]).join(columns, [*key, "b"]).join(F.broadcast(total), key)
 
 
-def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], bias_correction: bool = True) -> DataFrame:
+def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], bias_correction: bool = True, weight: str | None = None) -> DataFrame:
     """``(col_a, col_b, value)``: Cramér's V without Yates; 0 for a table of one row or column."""
-    cells = _margins(contingency(df, pairs))
+    cells = _margins(contingency(df, pairs, weight))
     d = lambda c: F.col(c).cast("double")
     sums = cells.groupBy("col_a", "col_b").agg(
         F.max("t").cast("double").alias("t"), F.countDistinct("a").cast("double").alias("r"), F.countDistinct("b").cast("double").alias("k"),
@@ -53,9 +56,9 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], bias_correction:
     return sums.select("col_a", "col_b", value.alias("value"))
 
 
-def theils_u(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def theils_u(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: str | None = None) -> DataFrame:
     """``(col_a, col_b, value)``: how much of col_a's entropy col_b explains; 0 if col_a is constant."""
-    cells = _margins(contingency(df, pairs))
+    cells = _margins(contingency(df, pairs, weight))
     d = lambda c: F.col(c).cast("double")
     log = lambda p: F.log2(p + EPSILON)
     sums = cells.groupBy("col_a", "col_b").agg(
@@ -97,7 +100,8 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], absolute: bool = T
 
     def ranks(value: str) -> DataFrame:
         long = _numeric_pairs(df, pairs).select(key.alias("column"), F.lit(1).alias("side"), F.col(value).alias("value"))
-        return ecdf(long).select(F.col("column").alias(f"k_{value}"), F.col("value").alias(f"v_{value}"), (F.col("cr") - (F.col("a") - 1) / 2).alias(f"rank_{value}"))
+        # the mean of all ranks is (n + 1) / 2: taken off, so that sums of squares keep their digits
+        return ecdf(long).select(F.col("column").alias(f"k_{value}"), F.col("value").alias(f"v_{value}"), (F.col("cr") - F.col("a") / 2.0 - F.col("nr") / 2.0).alias(f"rank_{value}"))
 
     joined = both.withColumn("key", key)
     for v in ("a", "b"):
@@ -274,18 +278,21 @@ def column_correlations(pair: TablePair, theil: bool = True) -> DataFrame:
     """
     out: DataFrame | None = None
     if pair.numerical:
-        # equal ranks meet: the overlap of [lo, hi] rank intervals of distinct values
-        steps = ecdf(pair.long())
-        real = steps.where("a > 0").select("column", F.col("value").alias("x"), (F.col("cr") - F.col("a")).alias("lo"), F.col("cr").alias("hi"))
-        fake = steps.where("b > 0").select("column", F.col("value").alias("y"), (F.col("cf") - F.col("b")).alias("lo2"), F.col("cf").alias("hi2"))
-        paired = _overlaps(real, fake)
-        out = paired.groupBy("column").agg(weighted_correlation("x", "y", "n").alias("correlation"))
+        # equal ranks meet: both sides' values over the ranks, a piece wherever either changes
+        out = weighted_correlations(pieces_of(pair, by_rank=True), "column", "x", "y", "width")
     cats = [c for c in pair.categorical if c not in pair.text]
     if cats:
-        ordered = lambda df, side: _numbered(df.select(*[F.col(c).cast("string").alias(f"{side}_{c}") for c in cats]))
-        both = ordered(pair.real, "r").join(ordered(pair.fake, "f"), "row_id")
+        number = lambda df, side: _numbered(df.select(*[F.col(c).cast("string").alias(f"{side}_{c}") for c in cats]))
+        r, f = number(pair.real, "r"), number(pair.fake, "f")
+        size = lambda df: df.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("n"))
+        most = size(r).unionByName(size(f)).agg(F.min("n").cast("double").alias("most"))
+        none, at = F.lit(None).cast("double"), lambda c: F.col(c).cast("double")
+        real = r.select(F.lit("rows").alias("column"), at("hi").alias("u"), at("lo").alias("x"), none.alias("y"))
+        fake = f.select(F.lit("rows").alias("column"), at("hi").alias("u"), none.alias("x"), at("lo").alias("y"))
+        pieces = merged(real.unionByName(fake).join(F.broadcast(most)))
+        both = pieces.join(r.withColumn("x", at("lo")).drop("lo", "hi"), "x").join(f.withColumn("y", at("lo")).drop("lo", "hi"), "y")
         pairs = [(f"r_{c}", f"f_{c}") for c in cats]
-        found = theils_u(both, pairs) if theil else cramers_v(both, pairs)
+        found = theils_u(both, pairs, "width") if theil else cramers_v(both, pairs, weight="width")
         named = found.select(F.substring("col_a", 3, 1000).alias("column"), F.col("value").alias("correlation"))
         out = named if out is None else out.unionByName(named)
     if out is None:
@@ -294,21 +301,13 @@ def column_correlations(pair: TablePair, theil: bool = True) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``row_id`` 0.. in the order of all columns: range-partitioned, numbered inside, shifted by the partitions before."""
-    ordered = df.repartitionByRange(*df.columns).sortWithinPartitions(*df.columns).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("__at", F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33))
-    sizes = ordered.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    shift = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__from"))
-    return ordered.join(F.broadcast(shift), "__part").select((F.col("__from") + F.col("__at")).alias("row_id"), *df.columns)
-
-
-def _overlaps(real: DataFrame, fake: DataFrame) -> DataFrame:
-    """``(column, x, y, n)``: how many ranks each pair of distinct values shares. Intervals meet in cells of a grid, and their overlaps are cut to the cell."""
-    grid = F.greatest(F.lit(1), F.floor(F.col("t") / 1024)).cast("long")
-    top = real.groupBy("column").agg(F.max("hi").alias("t")).select("column", grid.alias("g"))
-    cut = lambda df, lo, hi: df.join(F.broadcast(top), "column").withColumn("cell", F.explode(F.sequence(F.floor(F.col(lo) / F.col("g")), F.floor((F.col(hi) - 1) / F.col("g")))))
-    a, b = cut(real, "lo", "hi"), cut(fake, "lo2", "hi2").drop("g")
-    low = F.greatest(F.col("lo"), F.col("lo2"), F.col("cell") * F.col("g"))
-    high = F.least(F.col("hi"), F.col("hi2"), (F.col("cell") + 1) * F.col("g"))
-    return a.join(b, ["column", "cell"]).select("column", "x", "y", (high - low).alias("n")).where("n > 0")
+    """``(lo, hi, ...)``: the distinct rows of ``df``, and which places their copies take, ``lo`` to before ``hi``, if it is put in the order of all columns."""
+    own = list(df.columns)
+    # equal rows are one row with its number of copies: a row that fills a third of a table is in one range, once
+    counted = df.groupBy(*own).agg(F.count("*").alias("copies"))
+    rows = ordered(counted, [], own, lambda s: {"upto": np.cumsum(s["copies"])}, "upto long", "numbered")
+    sizes = rows.groupBy("part").agg(F.sum("copies").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shift = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("from"))
+    last = F.col("from") + F.col("upto")
+    return rows.join(F.broadcast(shift), "part").select((last - F.col("copies")).alias("lo"), last.alias("hi"), *own)

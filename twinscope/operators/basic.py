@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..pair import TablePair
+from .dist import steps_of
 
 STATISTICS = ("mean", "median", "std", "var")
 
@@ -16,8 +17,12 @@ STATISTICS = ("mean", "median", "std", "var")
 def statistics_vector(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, statistic, real, fake)``: mean, median, sample deviation and variance."""
     r, f = F.when(F.col("side") == 1, F.col("value")), F.when(F.col("side") == 0, F.col("value"))
-    makers = {"mean": F.avg, "median": lambda x: F.percentile(x, F.lit(0.5)), "std": F.stddev_samp, "var": F.var_samp}
+    makers = {"mean": F.avg, "std": F.stddev_samp, "var": F.var_samp}
     wide = pair.long(columns).groupBy("column").agg(*[make(x).alias(f"{s}_{side}") for s, make in makers.items() for side, x in (("real", r), ("fake", f))])
+    # the two middle values, from the distribution functions: no task holds a column
+    half = lambda c, n: F.min(F.when(F.col(c) >= F.floor((F.col(n) + 1) / 2), F.col("value"))) + F.min(F.when(F.col(c) >= F.floor(F.col(n) / 2) + 1, F.col("value")))
+    middle = steps_of(pair, columns).groupBy("column").agg((half("cr", "nr") / 2).alias("median_real"), (half("cf", "nf") / 2).alias("median_fake"))
+    wide = wide.join(F.broadcast(middle), "column")  # a row a column
     parts = F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(f"{s}_real").alias("real"), F.col(f"{s}_fake").alias("fake")) for s in STATISTICS])
     return wide.select("column", F.explode(parts).alias("e")).select("column", "e.*")
 
@@ -47,7 +52,44 @@ def kendalltau(x: Sequence[float], y: Sequence[float]) -> float:
     return float((sx * sy).sum() / low) if low else 0.0
 
 
-METRICS: dict[str, Callable] = {"pearsonr": pearsonr, "spearmanr": spearmanr, "kendalltau": kendalltau}
+def linregress(x: Sequence[float], y: Sequence[float]) -> float:
+    """The slope of y on x; 0 for a constant x."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    a = x - x.mean()
+    low = (a * a).sum()
+    return float((a * (y - y.mean())).sum() / low) if low else 0.0
+
+
+def somersd(x: Sequence[float], y: Sequence[float]) -> float:
+    """Somers' D of y given x: agreeing less disagreeing pairs over those that x doesn't tie."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    sx, sy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    low = (sx**2).sum()
+    return float((sx * sy).sum() / low) if low else 0.0
+
+
+def weightedtau(x: Sequence[float], y: Sequence[float]) -> float:
+    """Kendall's tau with hyperbolic weights of both places, the mean of both vectors' orders from the largest down."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+
+    def one(first: np.ndarray, second: np.ndarray) -> float:
+        rank = np.empty(len(x))
+        rank[np.lexsort((second, first))[::-1]] = np.arange(len(x))
+        w = 1 / (rank[:, None] + 1) + 1 / (rank[None, :] + 1)
+        sx, sy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+        np.fill_diagonal(w, 0)
+        low = np.sqrt((w * sx**2).sum() * (w * sy**2).sum())
+        return float((w * sx * sy).sum() / low) if low else 0.0
+
+    return (one(x, y) + one(y, x)) / 2
+
+
+def pointbiserialr(x: Sequence[float], y: Sequence[float]) -> float:
+    """Pearson of a vector of two values with any other."""
+    return pearsonr(x, y)
+
+
+METRICS: dict[str, Callable] = {f.__name__: f for f in (pearsonr, spearmanr, kendalltau, weightedtau, somersd, linregress, pointbiserialr)}
 
 
 def metric(how: str | Callable) -> Callable[[Sequence[float], Sequence[float]], float]:

@@ -1,9 +1,10 @@
 """Distances between the distributions of numerical columns.
 
 All columns of a pair go through one long table. Empirical distribution functions
-are built in two levels: values are counted, cut into ranges by approximate
-quantiles of the distinct values, accumulated inside each range and shifted by
-the totals of the ranges before it. No task holds a whole column.
+are built in two levels: values are counted, cut into ranges that grow in number
+with the table, accumulated inside each range, written once, and shifted by the
+totals of the ranges before it. No task holds a whole column, and all measures of
+a pair read the one written table.
 """
 
 from __future__ import annotations
@@ -17,20 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ratings import WASSERSTEIN
 from ..pair import TablePair
+from .ordered import Segments, ordered
 
-RANGES = 32
 
-
-def _ranges(counted: DataFrame, key: str, value: str, ranges: int) -> DataFrame:
-    """``counted`` with ``range``: how many of the key's cut points lie below the value. One small row a key is broadcast."""
-    if ranges < 2:
-        return counted.withColumn("range", F.lit(0))
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = counted.groupBy(key).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("cuts"))
-    return counted.join(F.broadcast(cuts), key).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
-
-
-def ecdf(long: DataFrame, ranges: int = RANGES) -> DataFrame:
+def ecdf(long: DataFrame) -> DataFrame:
     """``(column, value, a, b, cr, cf, nr, nf, nxt)``, a row a distinct value of ``long (column, side, value)``.
 
     ``a`` and ``b`` count the value on either side, ``cr`` and ``cf`` all values up
@@ -38,26 +29,69 @@ def ecdf(long: DataFrame, ranges: int = RANGES) -> DataFrame:
     """
     side = F.col("side")
     counted = long.groupBy("column", "value").agg(F.sum(side).cast("long").alias("a"), F.sum(1 - side).cast("long").alias("b"))
-    counted = _ranges(counted, "column", "value", ranges)
-    totals = counted.groupBy("column", "range").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.min("value").alias("low"))
-    over = Window.partitionBy("column").orderBy("range")  # RANGES rows a column
+
+    def add(own: Segments) -> dict[str, np.ndarray]:
+        return {"ra": own.running(own["a"]), "rb": own.running(own["b"]), "next": own.following(own["value"])}
+
+    steps = ordered(counted, ["column"], ["value"], add, "ra long, rb long, next double", "ecdf")
+    totals = steps.groupBy("column", "part").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.min("value").alias("low"))
+    over = Window.partitionBy("column").orderBy("part")  # a row a range
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("column")
     totals = totals.select(
-        "column", "range",
+        "column", "part",
         F.coalesce(F.sum("ta").over(before), F.lit(0)).alias("pa"), F.coalesce(F.sum("tb").over(before), F.lit(0)).alias("pb"),
         F.sum("ta").over(whole).alias("nr"), F.sum("tb").over(whole).alias("nf"), F.lead("low").over(over).alias("next_low"),
     )
-    inside = Window.partitionBy("column", "range").orderBy("value")
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = counted.join(F.broadcast(totals), ["column", "range"])
-    return out.select(
-        "column", "value", "a", "b",
-        (F.col("pa") + F.sum("a").over(running)).alias("cr"), (F.col("pb") + F.sum("b").over(running)).alias("cf"),
-        "nr", "nf", F.coalesce(F.lead("value").over(inside), F.col("next_low")).alias("nxt"),
+    return steps.join(F.broadcast(totals), ["column", "part"]).select(
+        "column", "value", "a", "b", (F.col("pa") + F.col("ra")).alias("cr"), (F.col("pb") + F.col("rb")).alias("cf"), "nr", "nf", F.coalesce("next", "next_low").alias("nxt"),
     )
 
 
+def steps_of(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
+    """The pair's ``ecdf``, written once for each choice of columns and shared by all measures."""
+    own = tuple(columns or pair.numerical)
+    return pair.once(("ecdf", own), lambda: ecdf(pair.long(own)))
+
+
+def _finite(steps: DataFrame) -> DataFrame:
+    return steps.withColumn("value", F.when(F.abs("value") == float("inf"), F.raise_error(F.lit("infinite value"))).otherwise(F.col("value")))
+
+
+def quantile_pieces(steps: DataFrame, by_rank: bool = False) -> DataFrame:
+    """``(column, width, x, y)``: where both quantile functions are constant, how wide, and their values there.
+
+    The functions change at the shares ``cr / nr`` and ``cf / nf``, or, ``by_rank``, at
+    the ranks ``cr`` and ``cf`` themselves, up to the shorter side's last.
+    """
+    own = lambda c, n: F.col(c).cast("double") if by_rank else F.col(c).cast("double") / F.col(n)
+    none = F.lit(None).cast("double")
+    real = steps.where("a > 0").select("column", "nr", "nf", own("cr", "nr").alias("u"), F.col("value").alias("x"), none.alias("y"))
+    fake = steps.where("b > 0").select("column", "nr", "nf", own("cf", "nf").alias("u"), none.alias("x"), F.col("value").alias("y"))
+    both = real.unionByName(fake)
+    marks = both.select("column", "u", "x", "y", (F.least("nr", "nf").cast("double") if by_rank else F.lit(1.0)).alias("most"))
+    return merged(marks)
+
+
+def merged(marks: DataFrame) -> DataFrame:
+    """``(column, width, x, y)`` of two step functions from ``marks (column, u, x, y, most)``: a row each step of either, its value, and the place ``u`` it holds up to."""
+    marks = marks.groupBy("column", "u").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("most").alias("most"))
+
+    def add(own: Segments) -> dict[str, np.ndarray]:
+        return {"u0": own.preceding(own["u"]), "x1": own.next_known(own["x"]), "y1": own.next_known(own["y"])}
+
+    marks = ordered(marks, ["column"], ["u"], add, "u0 double, x1 double, y1 double", "quantiles")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("u")))
+    ends = marks.groupBy("column", "part").agg(F.max("u").alias("top"), first("x").alias("fx"), first("y").alias("fy"))
+    over = Window.partitionBy("column").orderBy("part")  # a row a range
+    later = over.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select("column", "part", F.coalesce(F.lag("top").over(over), F.lit(0.0)).alias("from"), F.first("fx", ignorenulls=True).over(later).alias("lx"), F.first("fy", ignorenulls=True).over(later).alias("ly"))
+    start = F.coalesce("u0", "from")
+    width = F.least("u", "most") - start
+    pieces = marks.join(F.broadcast(ends), ["column", "part"]).select("column", width.alias("width"), F.coalesce("x1", "lx").alias("x"), F.coalesce("y1", "ly").alias("y"))
+    return pieces.where("width > 0 and x is not null and y is not null")
+
+
 def _gap() -> Column:
     share = lambda c, n: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(n).cast("double")), F.lit(0.0))
     return F.abs(share("cr", "nr") - share("cf", "nf"))
@@ -65,43 +99,33 @@ def _gap() -> Column:
 
 def ks(pair: TablePair, columns: Sequence[str] | None = None, p_value_threshold: float = 0.01) -> DataFrame:
     """``(column, statistic, p_value, equality)``: two-sample Kolmogorov-Smirnov with the asymptotic p-value."""
-    out = ecdf(pair.long(columns)).groupBy("column").agg(F.max(_gap()).alias("statistic"), F.max("nr").alias("nr"), F.max("nf").alias("nf"))
-    n, m = F.col("nr").cast("double"), F.col("nf").cast("double")
-    lam = F.sqrt(F.try_divide(n * m, n + m)) * F.col("statistic")
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * lam * lam))
-    p = F.when(lam < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    out = steps_of(pair, columns).groupBy("column").agg(F.max(_gap()).alias("statistic"), F.max("nr").alias("nr"), F.max("nf").alias("nf"))
+    p = ks_p_value(F.col("statistic"), F.col("nr"), F.col("nf"))
     return out.select("column", "statistic", p.alias("p_value")).withColumn("equality", F.when(F.col("p_value") > p_value_threshold, "identical").otherwise("different"))
 
 
+def ks_p_value(statistic: Column, nr: Column, nf: Column) -> Column:
+    """The asymptotic p-value of a two-sample statistic."""
+    n, m = nr.cast("double"), nf.cast("double")
+    lam = F.sqrt(F.try_divide(n * m, n + m)) * statistic
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * lam * lam))
+    return F.when(lam < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+
+
 def wasserstein_1d(pair: TablePair, columns: Sequence[str] | None = None, p: int = 1) -> DataFrame:
     """``(column, distance)``: the p-Wasserstein distance, p 1 or 2, of each column. Infinite values are an error."""
     if p not in (1, 2):
         raise ValueError("p must be 1 or 2")
-    long = pair.long(columns)
-    long = long.withColumn("value", F.when(F.abs("value") == float("inf"), F.raise_error(F.lit("infinite value"))).otherwise(F.col("value")))
-    steps = ecdf(long)
     if p == 1:
-        return steps.groupBy("column").agg(F.coalesce(F.sum(_gap() * (F.col("nxt") - F.col("value"))), F.lit(0.0)).alias("distance"))
-    # quantile functions meet at all steps of both: each step (u) ends a piece on which both are constant
-    own = lambda c, n: F.col(c).cast("double") / F.col(n)
-    real = steps.where("a > 0").select("column", own("cr", "nr").alias("u"), F.col("value").alias("x"), F.lit(None).cast("double").alias("y"))
-    fake = steps.where("b > 0").select("column", own("cf", "nf").alias("u"), F.lit(None).cast("double").alias("x"), F.col("value").alias("y"))
-    marks = real.unionByName(fake).groupBy("column", "u").agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    marks = marks.withColumn("range", F.least(F.floor(F.col("u") * RANGES), F.lit(RANGES)))
-    inside = Window.partitionBy("column", "range").orderBy("u")
-    rest = inside.rowsBetween(0, Window.unboundedFollowing)
-    ends = marks.groupBy("column", "range").agg(F.max("u").alias("top"), F.min_by("x", F.when(F.col("x").isNotNull(), F.col("u"))).alias("fx"), F.min_by("y", F.when(F.col("y").isNotNull(), F.col("u"))).alias("fy"))
-    over = Window.partitionBy("column").orderBy("range")
-    later = over.rowsBetween(1, Window.unboundedFollowing)
-    ends = ends.select("column", "range", F.coalesce(F.lag("top").over(over), F.lit(0.0)).alias("from"), F.first("fx", ignorenulls=True).over(later).alias("lx"), F.first("fy", ignorenulls=True).over(later).alias("ly"))
-    pieces = marks.join(F.broadcast(ends), ["column", "range"]).select(
-        "column",
-        (F.col("u") - F.coalesce(F.lag("u").over(inside), F.col("from"))).alias("du"),
-        F.coalesce(F.first("x", ignorenulls=True).over(rest), F.col("lx")).alias("x"),
-        F.coalesce(F.first("y", ignorenulls=True).over(rest), F.col("ly")).alias("y"),
-    )
+        return _finite(steps_of(pair, columns)).groupBy("column").agg(F.coalesce(F.sum(_gap() * (F.col("nxt") - F.col("value"))), F.lit(0.0)).alias("distance"))
     off = F.col("x") - F.col("y")
-    return pieces.groupBy("column").agg(F.sqrt(F.coalesce(F.sum(F.col("du") * off * off), F.lit(0.0))).alias("distance"))
+    return pieces_of(pair, columns).groupBy("column").agg(F.sqrt(F.coalesce(F.sum(F.col("width") * off * off), F.lit(0.0))).alias("distance"))
+
+
+def pieces_of(pair: TablePair, columns: Sequence[str] | None = None, by_rank: bool = False) -> DataFrame:
+    """The pair's ``quantile_pieces``, written once like ``steps_of``."""
+    own = tuple(columns or pair.numerical)
+    return pair.once(("pieces", own, by_rank), lambda: quantile_pieces(steps_of(pair, own) if by_rank else _finite(steps_of(pair, own)), by_rank))
 
 
 def spreads(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
@@ -152,16 +176,38 @@ def js_distance(pair: TablePair, columns: Sequence[str] | None = None, bins: int
     return shares.groupBy("column").agg(F.sqrt(F.greatest((F.sum(term(F.col("p"))) + F.sum(term(F.col("q")))) / 2, F.lit(0.0))).alias("js_distance"))
 
 
-def transport_cost(pair: TablePair, columns: Sequence[str] | None = None, bins: int = 50) -> DataFrame:
-    """``(column, cost)``: the cheapest way to move one histogram onto the other, over ``bins`` equal bins of both sides' range."""
+def _histograms(pair: TablePair, columns: Sequence[str] | None, bins: int) -> DataFrame:
+    """``(column, bin, low, width, p, q)``: both sides' shares over ``bins`` equal bins of both sides' range, empty ones left out."""
     long = pair.long(columns)
     span = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("side").alias("nr"), F.sum(1 - F.col("side")).alias("nf"))
     width = (F.col("hi") - F.col("lo")) / bins
     bin_ = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("value") - F.col("lo"), width)).cast("int"))
     placed = long.join(F.broadcast(span), "column").withColumn("bin", F.coalesce(bin_, F.lit(0)))
-    shares = placed.groupBy("column", "bin", "lo", "hi", "nr", "nf").agg((F.try_divide(F.sum("side"), F.col("nr")) - F.try_divide(F.sum(1 - F.col("side")), F.col("nf"))).alias("d"))
+    share = lambda n, x: F.coalesce(F.try_divide(F.sum(x).cast("double"), F.col(n).cast("double")), F.lit(0.0))
+    shares = placed.groupBy("column", "bin", "lo", "hi", "nr", "nf").agg(share("nr", F.col("side")).alias("p"), share("nf", 1 - F.col("side")).alias("q"))
+    return shares.select("column", "bin", (F.col("lo") + F.col("bin") * width).alias("low"), width.alias("width"), "p", "q")
+
+
+def transport_plan(pair: TablePair, columns: Sequence[str] | None = None, bins: int = 50) -> DataFrame:
+    """``(column, source, target, source_low, target_low, mass, cost)``: which share of a real bin goes to which fake one in the cheapest plan.
+
+    In one dimension that plan keeps the order: bins meet where their cumulative shares do.
+    """
+    shares = _histograms(pair, columns, bins)
+    over = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # 50 rows a column
+    ends = shares.select("column", "bin", "low", "width", F.sum("p").over(over).alias("up"), F.sum("q").over(over).alias("uq"), "p", "q")
+    a = ends.where("p > 0").select("column", F.col("bin").alias("source"), F.col("low").alias("source_low"), "width", (F.col("up") - F.col("p")).alias("p0"), F.col("up").alias("p1"))
+    b = ends.where("q > 0").select("column", F.col("bin").alias("target"), F.col("low").alias("target_low"), (F.col("uq") - F.col("q")).alias("q0"), F.col("uq").alias("q1"))
+    mass = F.least("p1", "q1") - F.greatest("p0", "q0")
+    met = a.join(F.broadcast(b), "column").withColumn("mass", mass).where("mass > 1e-12")
+    return met.select("column", "source", "target", "source_low", "target_low", "mass", (F.col("mass") * F.abs(F.col("source") - F.col("target")) * F.col("width")).alias("cost"))
+
+
+def transport_cost(pair: TablePair, columns: Sequence[str] | None = None, bins: int = 50) -> DataFrame:
+    """``(column, cost)``: the cheapest way to move one histogram onto the other, over ``bins`` equal bins of both sides' range."""
+    shares = _histograms(pair, columns, bins).withColumn("d", F.col("p") - F.col("q"))
     over = Window.partitionBy("column").orderBy("bin")  # 50 rows a column
-    moved = shares.select("column", width.alias("width"), F.abs(F.sum("d").over(over.rowsBetween(Window.unboundedPreceding, 0))).alias("c"), (F.coalesce(F.lead("bin").over(over), F.col("bin") + 1) - F.col("bin")).alias("steps"))
+    moved = shares.select("column", "width", F.abs(F.sum("d").over(over.rowsBetween(Window.unboundedPreceding, 0))).alias("c"), (F.coalesce(F.lead("bin").over(over), F.col("bin") + 1) - F.col("bin")).alias("steps"))
     return moved.groupBy("column").agg(F.sum(F.col("c") * F.col("width") * F.col("steps")).alias("cost"))
 
 
@@ -175,6 +221,18 @@ def sinkhorn(x: np.ndarray, y: np.ndarray, reg: float = 0.1, max_iter: int = 100
     la, lb = -math.log(len(x)), -math.log(len(y))
     f, g = np.zeros(len(x)), np.zeros(len(y))
 
+    if k.min() > -500:  # no weight underflows: products of matrices do
+        kernel = np.exp(k)
+        u, v, done = np.ones(len(x)), np.ones(len(y)), False
+        for _ in range(max_iter):
+            u = 1 / len(x) / (kernel @ v)
+            new = 1 / len(y) / (kernel.T @ u)
+            done = np.abs(np.log(new / v)).max() < tolerance
+            v = new
+            if done:
+                break
+        return float((u[:, None] * kernel * v[None, :] * cost).sum()), bool(done)
+
     def logsum(a: np.ndarray, axis: int) -> np.ndarray:
         top = a.max(axis=axis, keepdims=True)
         return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -191,8 +249,8 @@ def sinkhorn(x: np.ndarray, y: np.ndarray, reg: float = 0.1, max_iter: int = 100
     return float((plan * cost).sum()), bool(done)
 
 
-def wasserstein_2d(pair: TablePair, columns: Sequence[str] | None = None, max_samples: int = 500, reg: float = 0.1) -> DataFrame:
-    """``(column, distance, converged)`` of all pairs of columns, named ``a__b``: columns scaled by the real side, ``max_samples`` rows a side by hash order."""
+def wasserstein_2d(pair: TablePair, columns: Sequence[str] | None = None, max_samples: int = 2000, reg: float = 0.1) -> DataFrame:
+    """``(column, distance, converged, n_real, n_fake)`` of all pairs of columns, named ``a__b``: columns scaled by the real side, ``max_samples`` rows a side by hash order."""
     own = list(columns or pair.numerical)
     pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
     complete = lambda df: df.select(*[F.col(c).cast("double").alias(c) for c in own]).na.drop()
@@ -210,12 +268,12 @@ def wasserstein_2d(pair: TablePair, columns: Sequence[str] | None = None, max_sa
 
         p, q = pdf[pdf.side == 1][["x", "y"]].to_numpy(), pdf[pdf.side == 0][["x", "y"]].to_numpy()
         value, ok = sinkhorn(p, q, reg) if len(p) and len(q) else (float("nan"), False)
-        return pd.DataFrame({"column": [pdf.column.iloc[0]], "distance": [value], "converged": [ok]})
+        return pd.DataFrame({"column": [pdf.column.iloc[0]], "distance": [value], "converged": [ok], "n_real": [len(p)], "n_fake": [len(q)]})
 
-    return exploded.groupBy("column").applyInPandas(solve, "column string, distance double, converged boolean")
+    return exploded.groupBy("column").applyInPandas(solve, "column string, distance double, converged boolean, n_real long, n_fake long")
 
 
-def wasserstein_table(pair: TablePair, columns: Sequence[str] | None = None, p: int = 1, method: str = "1d", max_samples: int = 500) -> DataFrame:
+def wasserstein_table(pair: TablePair, columns: Sequence[str] | None = None, p: int = 1, method: str = "1d", max_samples: int = 2000) -> DataFrame:
     """``(column, wasserstein_distance, method)``."""
     if method == "1d":
         return wasserstein_1d(pair, columns, p).select("column", F.col("distance").alias("wasserstein_distance"), F.lit(f"1D_p{p}").alias("method"))

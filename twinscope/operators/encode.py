@@ -5,51 +5,68 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..pair import TablePair, common_columns, is_numeric
+from .ordered import ordered
 
-__all__ = ["codes", "common_columns", "encode_features", "factorize", "numeric_encoding", "one_hot"]
+__all__ = ["code_table", "codes", "common_columns", "encode_features", "factorize", "numeric_encoding", "one_hot"]
 
-#: Most categories that a one-hot or factorised column may have; the mapping is broadcast.
-MAX_CATEGORIES = 100_000
+#: Most values of a one-hot column: each becomes a column of the result, and a plan can't hold more.
+MAX_COLUMNS = 100_000
 
 
 def categorical_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
 
 
+def _values(pair: TablePair, cats: Sequence[str]) -> DataFrame:
+    """``(c, v)``: the distinct values of each column over both sides."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cats]))
+    return pair.tagged(cats).select(each.alias("e")).select("e.*").where("v is not null").distinct()
+
+
+def code_table(pair: TablePair, cats: Sequence[str]) -> DataFrame:
+    """``(c, v, code)``: the 0-based place of each value among the sorted values of its column, over both sides; a written table of any size."""
+    found = ordered(_values(pair, cats), ["c"], ["v"], lambda s: {"at": s.running(np.ones(s.table.num_rows, np.int64))}, "at long", "codes")
+    sizes = found.groupBy("c", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shift = sizes.select("c", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    return found.join(F.broadcast(shift), ["c", "part"]).select("c", "v", (F.col("from") + F.col("at") - 1).cast("int").alias("code"))
+
+
 def codes(pair: TablePair, cats: Sequence[str]) -> dict[str, list[str]]:
-    """The sorted values of each column over both sides, one job for all columns."""
-    each = pair.tagged(cats).select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cats])).alias("e")).select("e.*").where("v is not null").distinct()
-    rows = each.limit(MAX_CATEGORIES * len(cats) + 1).collect()
+    """The sorted values of columns that become columns themselves, one job for all."""
+    rows = _values(pair, cats).limit(MAX_COLUMNS * len(cats) + 1).collect()
     out: dict[str, list[str]] = {c: [] for c in cats}
     for r in rows:
         out[r["c"]].append(r["v"])
     for c, values in out.items():
-        if len(values) > MAX_CATEGORIES:
-            raise ValueError(f"column {c} has more than {MAX_CATEGORIES} categories")
+        if len(values) > MAX_COLUMNS:
+            raise ValueError(f"column {c} has more than {MAX_COLUMNS} values; factorize it instead")
         values.sort()
     return out
 
 
-def _code(column: str, values: Sequence[str]):
-    """0-based place in the sorted values; null stays null."""
-    if not values:
-        return F.lit(None).cast("int")
-    found = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column).cast("string")) if len(values) <= 64 else F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i + 1))])[F.col(column).cast("string")]
-    return (found - 1).cast("int")
-
-
 def factorize(pair: TablePair, cats: Sequence[str] | None = None) -> TablePair:
-    """Categories as integers. Equal codes mean equal values on both sides."""
+    """Categories as integers, null as null. Equal codes mean equal values on both sides.
+
+    The codes are a table that is joined; Spark broadcasts it if it is small.
+    """
     cats = list(cats if cats is not None else categorical_columns(pair.real))
     if not cats:
         return pair
-    known = codes(pair, cats)
-    fixed = {c: _code(c, known[c]) for c in cats}
-    return replace(pair, real=pair.real.withColumns(fixed), fake=pair.fake.withColumns(fixed))
+    table = code_table(pair, cats)
+
+    def coded(df: DataFrame) -> DataFrame:
+        for c in cats:
+            own = table.where(F.col("c") == c).select(F.col("v").alias("__value"), F.col("code").alias("__code"))
+            df = df.join(own, F.col(f"`{c}`").cast("string") == F.col("__value"), "left").withColumn(c, F.col("__code")).drop("__value", "__code")
+        return df
+
+    return replace(pair, real=coded(pair.real), fake=coded(pair.fake))
 
 
 def one_hot(pair: TablePair, cats: Sequence[str] | None = None) -> TablePair:
@@ -94,7 +111,7 @@ def numeric_encoding(pair: TablePair, cats: Sequence[str] | None = None, drop_si
             info[c] = "dropped" if drop_single_label else "constant"
             made = [] if drop_single_label else [(c, F.lit(0.0))]
         elif len(values) == 2:
-            info[c], made = "factorized", [(c, F.coalesce(_code(c, values).cast("double"), F.lit(-1.0)))]
+            info[c], made = "factorized", [(c, F.when(F.col(c).isNull(), -1.0).otherwise((F.col(c).cast("string") == values[1]).cast("double")))]
         else:
             info[c] = "one_hot"
             made = [(f"{c}_{v}", F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0))) for v in values]

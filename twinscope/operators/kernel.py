@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from ..functions.ratings import DISCRIMINATION, MMD
 from ..pair import TablePair, row_key
 
 KERNELS = ("rbf", "polynomial", "linear")
+#: Rows of a side that kernels of pairs of rows look at.
+MAX_SAMPLES = 5000
 
 
 def _estimate(xx: Column, yy: Column, xy: Column, n: Column, m: Column, dx: Column, dy: Column, unbiased: bool) -> Column:
@@ -86,41 +89,63 @@ def _samples(pair: TablePair, own: Sequence[str], max_samples: int) -> tuple[Dat
     return take(pair.real), take(pair.fake)
 
 
-def mmd_rbf(pair: TablePair, columns: Sequence[str] | None = None, gamma: float | str | None = None, max_samples: int = 300, unbiased: bool = True) -> DataFrame:
+def _rbf(x: np.ndarray, y: np.ndarray, gamma: float | str | None, unbiased: bool) -> float:
+    """One matrix of squared distances at a time; with ``pooled`` they are made twice."""
+
+    def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)))
+        for k in range(a.shape[1]):
+            out += (a[:, k, None] - b[None, :, k]) ** 2
+        return out
+
+    def scale(*d2: np.ndarray) -> float:
+        apart = np.concatenate([m[m > 0] for m in d2])
+        return 1 / (2 * float(np.median(np.sqrt(apart))) ** 2) if len(apart) else 0.0
+
+    if gamma == "pooled":
+        gamma = scale(squares(x, x), squares(y, y), squares(x, y))
+    sums = []
+    for a, b in ((x, x), (y, y), (x, y)):
+        d2 = squares(a, b)
+        g = float(gamma) if gamma is not None else scale(d2)
+        sums.append(float(np.exp(-g * d2).sum()))
+    n, m = len(x), len(y)
+    if unbiased:  # the diagonal is 1 everywhere
+        parts = [(sums[0] - n) / (n * (n - 1)) if n > 1 else float("nan"), (sums[1] - m) / (m * (m - 1)) if m > 1 else float("nan"), sums[2] / (n * m) if n * m else float("nan")]
+    else:
+        parts = [sums[0] / (n * n), sums[1] / (m * m), sums[2] / (n * m)] if n * m else [float("nan")] * 3
+    return max(parts[0] + parts[1] - 2 * parts[2], 0.0)
+
+
+def _rbf_each(pair: TablePair, groups: dict[str, Sequence[str]], gamma: float | str | None, max_samples: int, unbiased: bool) -> DataFrame:
+    """``(column, mmd_squared, n_real, n_fake)`` of several sets of columns, a task each: ``max_samples`` rows a side at most are in it."""
+    out: DataFrame | None = None
+    for name, own in groups.items():
+        for side, df in zip((1, 0), _samples(pair, own, max_samples), strict=True):
+            rows = df.select(F.lit(name).alias("column"), F.lit(side).alias("side"), "v")
+            out = rows if out is None else out.unionByName(rows)
+
+    def solve(pdf):
+        import pandas as pd
+
+        x, y = (np.array(pdf[pdf.side == s]["v"].tolist(), dtype=float) for s in (1, 0))
+        value = _rbf(x, y, gamma, unbiased) if len(x) and len(y) else float("nan")
+        return pd.DataFrame({"column": [pdf.column.iloc[0]], "mmd_squared": [value], "n_real": [len(x)], "n_fake": [len(y)]})
+
+    found = out.groupBy("column").applyInPandas(solve, "column string, mmd_squared double, n_real long, n_fake long")
+    return found.withColumn("mmd_squared", F.nanvl("mmd_squared", F.lit(None).cast("double")))
+
+
+def mmd_rbf(pair: TablePair, columns: Sequence[str] | None = None, gamma: float | str | None = None, max_samples: int = MAX_SAMPLES, unbiased: bool = True) -> DataFrame:
     """One row ``(mmd_squared, n_real, n_fake)``: joint RBF kernel over ``max_samples`` rows a side by hash order.
 
     ``gamma`` None takes 1/(2*median^2) of the nonzero distances of each of the
     three matrices; ``pooled`` takes one median over all three.
     """
-    own = list(columns or pair.numerical)
-    real, fake = _samples(pair, own, max_samples)
-    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-    def matrix(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
-        # both sides have max_samples rows at most
-        joined = a.select(F.col("v").alias("va"), F.col("i").alias("ia")).crossJoin(F.broadcast(b.select(F.col("v").alias("vb"), F.col("i").alias("ib"))))
-        same = (F.col("ia") == F.col("ib")) if name != "xy" else F.lit(False)
-        return joined.select(F.lit(name).alias("m"), same.alias("same"), square(F.col("va"), F.col("vb")).alias("d2"))
-
-    each = matrix("xx", real, real).unionByName(matrix("yy", fake, fake)).unionByName(matrix("xy", real, fake))
-    distance = F.when(F.col("d2") > 0, F.sqrt("d2"))
-    if isinstance(gamma, (int, float)):
-        wide = each.withColumn("g", F.lit(float(gamma)))
-    else:
-        key = F.lit("all") if gamma == "pooled" else F.col("m")
-        med = each.groupBy(key.alias("k")).agg(F.percentile(distance, F.lit(0.5)).alias("median"))
-        med = med.select("k", (1 / (2 * F.col("median") * F.col("median"))).alias("g"))
-        wide = each.withColumn("k", key).join(F.broadcast(med), "k")
-    value = F.exp(-F.coalesce(F.col("g"), F.lit(0.0)) * F.col("d2"))
-    on = lambda m, x, more=F.lit(True): F.coalesce(F.sum(F.when((F.col("m") == m) & more, x)), F.lit(0.0))
-    sums = wide.agg(
-        on("xx", value).alias("xx"), on("yy", value).alias("yy"), on("xy", value).alias("xy"), on("xx", value, F.col("same")).alias("dx"), on("yy", value, F.col("same")).alias("dy"),
-        F.count(F.when((F.col("m") == "xx") & F.col("same"), 1)).alias("n"), F.count(F.when((F.col("m") == "yy") & F.col("same"), 1)).alias("mm"),
-    )
-    return sums.select(_estimate(F.col("xx"), F.col("yy"), F.col("xy"), F.col("n"), F.col("mm"), F.col("dx"), F.col("dy"), unbiased).alias("mmd_squared"), F.col("n").alias("n_real"), F.col("mm").alias("n_fake"))
+    return _rbf_each(pair, {"": list(columns or pair.numerical)}, gamma, max_samples, unbiased).drop("column")
 
 
-def mmd_custom(pair: TablePair, kernel: Callable[[Column, Column], Column], columns: Sequence[str] | None = None, max_samples: int = 300, unbiased: bool = True) -> DataFrame:
+def mmd_custom(pair: TablePair, kernel: Callable[[Column, Column], Column], columns: Sequence[str] | None = None, max_samples: int = 2000, unbiased: bool = True) -> DataFrame:
     """One row ``(mmd_squared,)`` for a kernel given as a function of two array columns, over samples."""
     own = list(columns or pair.numerical)
     real, fake = _samples(pair, own, max_samples)
@@ -134,7 +159,7 @@ def mmd_custom(pair: TablePair, kernel: Callable[[Column, Column], Column], colu
     return row.select(_estimate(F.col("xx"), F.col("yy"), F.col("xy"), F.sqrt("nxx"), F.sqrt("nyy"), F.col("dxx"), F.col("dyy"), unbiased).alias("mmd_squared"))
 
 
-def mmd_column_wise(pair: TablePair, columns: Sequence[str] | None = None, kernel: str = "rbf", max_samples: int = 300, **how) -> DataFrame:
+def mmd_column_wise(pair: TablePair, columns: Sequence[str] | None = None, kernel: str = "rbf", max_samples: int = MAX_SAMPLES, **how) -> DataFrame:
     """``(column, mmd_squared, kernel)``."""
     own = list(columns or pair.numerical)
     if kernel == "linear":
@@ -142,16 +167,13 @@ def mmd_column_wise(pair: TablePair, columns: Sequence[str] | None = None, kerne
     elif kernel == "polynomial":
         out = mmd_polynomial(pair, own, **how)
     elif kernel == "rbf":
-        parts = [mmd_rbf(pair, [c], max_samples=max_samples, **how).select(F.lit(c).alias("column"), "mmd_squared") for c in own]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = _rbf_each(pair, {c: [c] for c in own}, how.get("gamma"), max_samples, how.get("unbiased", True))
     else:
         raise ValueError(f"kernel must be one of {KERNELS}")
     return out.select("column", "mmd_squared", F.lit(kernel).alias("kernel"))
 
 
-def mmd_multivariate(pair: TablePair, columns: Sequence[str] | None = None, kernel: str = "rbf", max_samples: int = 300, **how) -> DataFrame:
+def mmd_multivariate(pair: TablePair, columns: Sequence[str] | None = None, kernel: str = "rbf", max_samples: int = MAX_SAMPLES, **how) -> DataFrame:
     """One row ``(kernel, mmd_squared, n_real, n_fake)``."""
     if kernel == "rbf":
         out = mmd_rbf(pair, columns, max_samples=max_samples, **how)
@@ -162,7 +184,7 @@ def mmd_multivariate(pair: TablePair, columns: Sequence[str] | None = None, kern
     return out.select(F.lit(kernel).alias("kernel"), "mmd_squared", "n_real", "n_fake")
 
 
-def mmd_evaluation(pair: TablePair, columns: Sequence[str] | None = None, kernels: Sequence[str] = KERNELS, max_samples: int = 200) -> DataFrame:
+def mmd_evaluation(pair: TablePair, columns: Sequence[str] | None = None, kernels: Sequence[str] = KERNELS, max_samples: int = MAX_SAMPLES) -> DataFrame:
     """A row a kernel: mean, median and largest column-wise value, the joint value, quality 1/(1+mean), rating, and whether it tells the sides apart best."""
     out: DataFrame | None = None
     for k in kernels:

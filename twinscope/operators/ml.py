@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratings import ML_CLASSIFICATION, ML_OVERALL, ML_REGRESSION
 from ..pair import SEED, TablePair, is_numeric
+from ..work import materialize
 from .basic import metric
 
 FOLDS = 5
@@ -53,7 +54,7 @@ def _ready(pair: TablePair, target: str, kind: str) -> tuple[DataFrame, DataFram
 
 def classifiers(n_rows: int, n_features: int, n_classes: int, seed: int = SEED) -> dict:
     return {
-        "LogisticRegression": LogisticRegression(maxIter=100, regParam=1.0 / max(1, n_rows)),
+        "LogisticRegression": LogisticRegression(maxIter=500, regParam=1.0 / max(1, n_rows), standardization=False),
         "RandomForestClassifier": RandomForestClassifier(numTrees=10, maxDepth=MAX_DEPTH, maxBins=256, seed=seed),
         "DecisionTreeClassifier": DecisionTreeClassifier(maxDepth=MAX_DEPTH, maxBins=256, seed=seed),
         "MLPClassifier": MultilayerPerceptronClassifier(layers=[n_features, 50, 50, max(2, n_classes)], maxIter=100, seed=seed),
@@ -90,7 +91,7 @@ def estimator_scores(pair: TablePair, target: str, target_type: str = "class", k
     if target_type not in ("class", "regr"):
         raise ValueError("target_type must be class or regr")
     real, fake, classes = _ready(pair, target, target_type)
-    real, fake = real.cache(), fake.cache()
+    real, fake = materialize(real, "ml-real"), materialize(fake, "ml-fake")
     first = real.select("features").first()
     n_features = first["features"].size if first else 0
     rows = []
@@ -148,7 +149,7 @@ def ml_utility(pair: TablePair, target: str, task: str = "auto", test_size: floa
     """``(model, task, metric, real_score, synthetic_score, ratio)``: both tested on rows of the real side that no model saw."""
     task = detect_task(pair.real, target) if task == "auto" else task
     real, fake, _ = _ready(pair, target, "class" if task == "classification" else "regr")
-    real, fake = real.cache(), fake.cache()
+    real, fake = materialize(real, "ml-real"), materialize(fake, "ml-fake")
     train, test = real.where(F.col("fold") >= test_size), real.where(F.col("fold") < test_size)
     rows = []
     for name, m in _utility_models(task, seed).items():
@@ -176,6 +177,19 @@ def class_report(pair: TablePair, target: str, seed: int = SEED) -> DataFrame:
     return sums.select("label", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), F.col("own").cast("long").alias("support"))
 
 
+def train_test_on_synthetic(pair: TablePair, target: str, task: str = "auto", test_size: float = 0.2, seed: int = SEED) -> DataFrame:
+    """``(metric, real_score, synthetic_score, ratio, difference)``: a forest trained on either side, both tested on rows of the real side that neither saw.
+
+    Accuracy for classes; mean squared and absolute error and R2 for numbers.
+    ``ratio`` is the synthetic score over the real one, ``difference`` the real score
+    less the synthetic one.
+    """
+    task = detect_task(pair.real, target) if task == "auto" else task
+    table = ml_utility(pair, target, task, test_size, ["random_forest"], seed)
+    kept = ("accuracy",) if task == "classification" else ("mse", "mae", "r2")
+    return table.where(F.col("metric").isin(*kept)).select("metric", "real_score", "synthetic_score", "ratio", (F.col("real_score") - F.col("synthetic_score")).alias("difference"))
+
+
 def target_columns(df: DataFrame, max_targets: int = 5) -> DataFrame:
     """``(column, task, distinct, unique_ratio)`` of the columns that suit as targets, the least varied first.
 

@@ -2,73 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratings import ATTACK_RISK, K_ANONYMITY, privacy_advice
 from ..functions.scalar import clamp
 from ..pair import SEED, TablePair, is_numeric, row_key
+from ..work import materialize
 
 NEUTRAL_ACCURACY = 0.5
 
 
-def _same_row(columns: Sequence[str], left: str, right: str) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return out
-
-
 def copies(pair: TablePair) -> DataFrame:
     """The rows of the fake side, as often as they occur there, that occur on the real side; nulls are equal."""
-    real = pair.real.distinct().alias("r")
-    return pair.fake.alias("f").join(real, _same_row(pair.fake.columns, "f", "r"), "left_semi")
+    return _repeated(_counted(pair).where("__r > 0 and __f > 0"), "__f").select(*pair.fake.columns)
+
+
+def _counted(pair: TablePair) -> DataFrame:
+    """The distinct rows with how often each side has them: counted before they shuffle, nulls equal."""
+    return pair.tagged().groupBy(*pair.real.columns).agg(F.sum("side").alias("__r"), F.sum(1 - F.col("side")).alias("__f"))
 
 
 def novel_rows(pair: TablePair) -> DataFrame:
     """The rows of the fake side that don't occur on the real side."""
-    real = pair.real.distinct().alias("r")
-    return pair.fake.alias("f").join(real, _same_row(pair.fake.columns, "f", "r"), "left_anti")
+    return _repeated(_counted(pair).where("__r = 0 and __f > 0"), "__f").select(*pair.fake.columns)
 
 
 def copies_count(pair: TablePair) -> DataFrame:
     """One row ``(copied, fraction)``: by one aggregate over both sides, so that a row that fills a third of a table isn't gathered."""
-    counted = pair.tagged().groupBy(*pair.real.columns).agg(F.max("side").alias("__real"), F.sum(1 - F.col("side")).alias("__fakes"))
-    n = F.coalesce(F.sum(F.when(F.col("__real") == 1, F.col("__fakes"))), F.lit(0)).cast("long")
-    return counted.agg(n.alias("copied"), F.coalesce(F.try_divide(n.cast("double"), F.sum("__fakes").cast("double")), F.lit(0.0)).alias("fraction"))
+    n = F.coalesce(F.sum(F.when(F.col("__r") > 0, F.col("__f"))), F.lit(0)).cast("long")
+    return _counted(pair).agg(n.alias("copied"), F.coalesce(F.try_divide(n.cast("double"), F.sum("__f").cast("double")), F.lit(0.0)).alias("fraction"))
 
 
 def duplicates(df: DataFrame) -> DataFrame:
     """All members of groups of equal rows, with ``group_size``."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("group_size")).where("group_size > 1").alias("g")
-    return df.alias("d").join(groups, _same_row(df.columns, "d", "g")).select("d.*", "g.group_size")
+    # counted before they shuffle, and written out as often as they occur: a row that fills a third of the table is one row until then
+    groups = df.groupBy(*df.columns).agg(F.count("*").alias("group_size")).where("group_size > 1")
+    return _repeated(groups, "group_size").select(*df.columns, "group_size")
+
+
+def _repeated(groups: DataFrame, times: str) -> DataFrame:
+    """Each row ``times`` times, a great many in several tasks."""
+    step = 1 << 16
+    whole = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / step))
+    parts = groups.withColumn("__part", F.explode(whole)).repartition(*groups.columns, "__part")
+    size = F.least(F.lit(step).cast("long"), F.col(times) - F.col("__part") * step)
+    return parts.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("__part", "__copy")
 
 
 def duplicates_count(pair: TablePair) -> DataFrame:
     """One row ``(real_duplicates, fake_duplicates)``: members of groups of equal rows on each side."""
-    counted = pair.tagged().groupBy(*pair.real.columns).agg(F.sum("side").alias("__r"), F.sum(1 - F.col("side")).alias("__f"))
+    counted = _counted(pair)
     members = lambda c: F.coalesce(F.sum(F.when(F.col(c) > 1, F.col(c))), F.lit(0)).cast("long")
     return counted.agg(members("__r").alias("real_duplicates"), members("__f").alias("fake_duplicates"))
 
 
-def row_distance(pair: TablePair, columns: Sequence[str] | None = None, max_samples: int = 500, direction: str = "real") -> DataFrame:
-    """One row ``(mean_distance, std_distance)``: from each real row to the nearest fake one, over samples of one size by hash order.
+def row_distance(pair: TablePair, columns: Sequence[str] | None = None, max_samples: int = 20_000, direction: str = "real") -> DataFrame:
+    """One row ``(mean_distance, std_distance, n)``: from each real row to the nearest fake one, over samples of one size by hash order.
 
-    ``direction`` ``fake`` goes the other way. Both samples hold ``max_samples`` rows at most.
+    ``direction`` ``fake`` goes the other way. Both samples hold ``max_samples`` rows
+    at most; ``n`` is how many rows looked for their nearest one. Squared distances
+    come from products of matrices, some rows at a time, in as many tasks as the
+    session has shuffle partitions.
     """
     own = list(columns or pair.numerical)
 
     def take(df: DataFrame) -> DataFrame:
         rows = df.select(*[F.col(c).cast("double").alias(c) for c in own]).na.drop()
-        return rows.orderBy(row_key(own, pair.seed), *own).limit(max_samples).select(F.array(*own).alias("v")).withColumn("i", F.monotonically_increasing_id())
+        return rows.orderBy(row_key(own, pair.seed), *own).limit(max_samples)
 
     a, b = (pair.real, pair.fake) if direction == "real" else (pair.fake, pair.real)
-    square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    each = take(a).select(F.col("v").alias("va"), "i").crossJoin(F.broadcast(take(b).select(F.col("v").alias("vb"))))
-    near = each.groupBy("i").agg(F.sqrt(F.min(square)).alias("d"))
-    return near.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean_distance"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("std_distance"))
+    spark = pair.real.sparkSession
+    # max_samples rows of doubles
+    other = spark.sparkContext.broadcast(np.column_stack([take(b).toArrow().column(c).to_numpy() for c in own]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = other.value
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy() for c in own])
+            for at in range(0, len(x), 256):
+                # differences rather than products: equal rows are 0 apart to the last digit
+                d2 = sum((x[at : at + 256, k, None] - y[None, :, k]) ** 2 for k in range(len(own)))
+                near = np.sqrt(d2.min(axis=1)) if len(y) else np.empty(0)
+                yield pa.RecordBatch.from_arrays([pa.array(near)], ["d"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = take(a).repartition(parts).mapInArrow(run, "d double")
+    return near.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean_distance"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("std_distance"), F.count("d").alias("n"))
 
 
 def quasi_identifiers(df: DataFrame, max_unique_ratio: float = 0.9, min_unique_count: int = 2, min_unique_ratio: float = 0.01) -> DataFrame:
@@ -143,7 +167,7 @@ def membership_attack(pair: TablePair, columns: Sequence[str] | None = None, tes
     rows = take(pair.real).withColumn("label", F.lit(1.0)).unionByName(take(pair.fake).withColumn("label", F.lit(0.0)))
     names, stages = features(rows, own)
     part = F.pmod(F.xxhash64(*own, "label"), F.lit(1000)) / 1000.0
-    rows = rows.withColumn("__test", part < test_size).cache()
+    rows = materialize(rows.withColumn("__test", part < test_size), "attack")
     prep = Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol="__raw", handleInvalid="keep"), StandardScaler(inputCol="__raw", outputCol="features", withMean=True)]).fit(rows)
     train, test = (prep.transform(rows.where(c)).select("label", "features") for c in ("not __test", "__test"))
     models = {"logistic_regression": LogisticRegression(maxIter=1000), "random_forest": RandomForestClassifier(numTrees=100, seed=seed)}
@@ -190,7 +214,8 @@ def privacy_evaluation(pair: TablePair, qi: Sequence[str], sensitive: Sequence[s
 
     def attempt(name: str, make) -> None:
         try:
-            parts[name] = make()
+            df = make()
+            parts[name] = spark.createDataFrame(df.collect(), df.schema)  # a few rows; what fails, fails here
         except Exception as e:  # one part's failure must not cost the others
             parts[name] = spark.createDataFrame([(type(e).__name__, str(e)[:500], name)], "error_type string, error string, function_name string")
 

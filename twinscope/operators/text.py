@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratings import CONSISTENCY, LEXICAL, SEMANTIC, TEXT_OVERALL, TFIDF
-
-from ..functions.text import term_list, tokens, without_stop_words
+from ..functions.text import tokens, without_stop_words
 from ..pair import TablePair, row_key
-from .dist import _gap, ecdf
+from .dist import _gap, ecdf, ks_p_value
 
 
 def _texts(pair: TablePair, column: str) -> DataFrame:
@@ -25,7 +27,10 @@ def token_counts(pair: TablePair, column: str) -> DataFrame:
 
 
 def length_similarity(pair: TablePair, column: str, unit: str = "word") -> DataFrame:
-    """One row ``(ks_statistic, similarity, mean_real, mean_fake, std_real, std_fake)`` of lengths over 0; no lengths on a side give statistic 1."""
+    """One row ``(ks_statistic, p_value, significant, similarity, mean_real, mean_fake, std_real, std_fake)`` of lengths over 0.
+
+    No lengths on a side give statistic 1 and p-value 0; ``significant`` is a p-value below 0.05.
+    """
     if unit not in ("word", "char"):
         raise ValueError("unit must be word or char")
     size = F.size(tokens(F.col("text"))) if unit == "word" else F.length("text")
@@ -33,8 +38,10 @@ def length_similarity(pair: TablePair, column: str, unit: str = "word") -> DataF
     steps = ecdf(lengths).agg(F.max(_gap()).alias("ks"), F.max("nr").alias("nr"), F.max("nf").alias("nf"))
     r, f = F.when(F.col("side") == 1, F.col("value")), F.when(F.col("side") == 0, F.col("value"))
     moments = lengths.agg(*[F.coalesce(x, F.lit(0.0)).alias(n) for n, x in (("mean_real", F.avg(r)), ("mean_fake", F.avg(f)), ("std_real", F.stddev_samp(r)), ("std_fake", F.stddev_samp(f)))])
-    stat = F.when((F.coalesce("nr", F.lit(0)) == 0) | (F.coalesce("nf", F.lit(0)) == 0), F.lit(1.0)).otherwise(F.col("ks"))
-    return steps.select(stat.alias("ks_statistic"), (1 - stat).alias("similarity")).join(F.broadcast(moments))
+    none = (F.coalesce("nr", F.lit(0)) == 0) | (F.coalesce("nf", F.lit(0)) == 0)
+    stat = F.when(none, F.lit(1.0)).otherwise(F.col("ks"))
+    p = F.when(none, F.lit(0.0)).otherwise(ks_p_value(F.col("ks"), F.col("nr"), F.col("nf")))
+    return steps.select(stat.alias("ks_statistic"), p.alias("p_value"), (p < 0.05).alias("significant"), (1 - stat).alias("similarity")).join(F.broadcast(moments))
 
 
 def vocabulary_overlap(pair: TablePair, column: str, min_frequency: int = 1) -> DataFrame:
@@ -58,27 +65,76 @@ def tfidf_similarity(pair: TablePair, column: str, max_features: int = 10000, ng
     ``max_df`` are left out; of the rest the ``max_features`` most frequent stay.
     Weights are counts times ln((1+N)/(1+df))+1, rows have length 1.
     """
-    texts = _texts(pair, column).withColumn("doc", F.monotonically_increasing_id())
     words = without_stop_words(F.filter(tokens(F.col("text")), lambda w: F.length(w) >= 2))
-    # as a column of its own the word list is computed once a row, not once a term
-    texts = texts.withColumn("words", words)
-    each = texts.select("side", "doc", F.explode(term_list(F.col("words"), ngram_range)).alias("term"))
-    counts = each.groupBy("side", "doc", "term").agg(F.count("*").cast("double").alias("tf"))
-    n_docs = texts.agg(F.sum("side").cast("double").alias("n1"), F.sum(1 - F.col("side")).cast("double").alias("n0"))
-    terms = counts.groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("tf").alias("total"))
+    texts = _texts(pair, column).select("side", words.alias("words"))
+    n_docs = texts.agg(F.coalesce(F.sum("side"), F.lit(0)).cast("double").alias("n1"), F.coalesce(F.sum(1 - F.col("side")), F.lit(0)).cast("double").alias("n0"))
+    # a document's terms are counted in its row; only terms with their counts are shuffled
+    terms = texts.mapInArrow(_term_counts(ngram_range), "term string, df long, total long").groupBy("term").agg(F.sum("df").cast("double").alias("df"), F.sum("total").cast("double").alias("total"))
     total = F.col("n1") + F.col("n0")
     kept = terms.join(F.broadcast(n_docs)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
-    kept = kept.orderBy(F.desc("total"), "term").limit(max_features).select("term", (F.ln((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    # max_features rows
-    weighted = counts.join(F.broadcast(kept), "term").select("side", "doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norms, "doc").groupBy("term").agg(*[F.sum(F.when(F.col("side") == s, F.col("w") / F.col("norm")).otherwise(0.0)).alias(f"s{s}") for s in (1, 0)])
-    mean = unit.join(F.broadcast(n_docs)).select(*[F.coalesce(F.try_divide(F.col(f"s{s}"), F.col(f"n{s}")), F.lit(0.0)).alias(x) for s, x in ((1, "r"), (0, "f"))])
+    kept = kept.orderBy(F.desc("total"), "term").limit(max_features).select("term", (F.ln((1 + total) / (1 + F.col("df"))) + 1).alias("idf")).collect()  # max_features rows
+    vocabulary = {r["term"]: (i, r["idf"]) for i, r in enumerate(kept)}
+    shared = pair.real.sparkSession.sparkContext.broadcast(vocabulary)
+    sums = texts.mapInArrow(_unit_sums(ngram_range, shared), "term int, s1 double, s0 double").groupBy("term").agg(F.sum("s1").alias("s1"), F.sum("s0").alias("s0"))
+    mean = sums.join(F.broadcast(n_docs)).select(*[F.coalesce(F.try_divide(F.col(f"s{s}"), F.col(f"n{s}")), F.lit(0.0)).alias(x) for s, x in ((1, "r"), (0, "f"))])
     norm = lambda c: F.sqrt(F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0)))
     cosine = F.coalesce(F.try_divide(F.sum(F.col("r") * F.col("f")), norm("r") * norm("f")), F.lit(0.0))
     return mean.agg(cosine.alias("cosine"), (1 - cosine).alias("distance"), F.count("*").alias("vocabulary_size"), norm("r").alias("norm_real"), norm("f").alias("norm_fake"))
 
 
+def _terms(words: list[str], ngram_range: tuple[int, int]) -> Counter:
+    out: Counter = Counter()
+    for n in range(ngram_range[0], ngram_range[1] + 1):
+        out.update(words if n == 1 else map(" ".join, zip(*[words[i:] for i in range(n)], strict=False)))
+    return out
+
+
+def _term_counts(ngram_range: tuple[int, int], most: int = 200_000):
+    """Rows ``(term, df, total)`` of the documents of a task, summed as far as ``most`` terms at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, total = Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(df, pa.string()), pa.array(df.values(), pa.int64()), pa.array([total[t] for t in df], pa.int64())], ["term", "df", "total"])
+            df.clear()
+            total.clear()
+            return out
+
+        for batch in batches:
+            for words in batch.column(1):
+                own = _terms(words.as_py() or [], ngram_range)
+                df.update(own.keys())
+                total.update(own)
+                if len(df) > most:
+                    yield flush()
+        if df:
+            yield flush()
+
+    return run
+
+
+def _unit_sums(ngram_range: tuple[int, int], shared):
+    """Rows ``(term, s1, s0)``: a task's sums of the documents' unit vectors, by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        sums = np.zeros((2, len(vocabulary)))
+        seen = np.zeros(len(vocabulary), dtype=bool)
+        for batch in batches:
+            for side, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = [(*vocabulary[t], n) for t, n in _terms(words.as_py() or [], ngram_range).items() if t in vocabulary]
+                if own:
+                    at, idf, n = map(np.array, zip(*own, strict=True))
+                    w = n * idf
+                    sums[side, at] += w / np.sqrt((w * w).sum())
+                    seen[at] = True
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[1, at]), pa.array(sums[0, at])], ["term", "s1", "s0"])
+
+    return run
+
+
 def embedding_similarity(pair: TablePair, column: str, max_samples: int | None = None) -> DataFrame:
     """One row ``(cosine, n_real, n_fake)`` of the sides' mean vectors; ``column`` holds arrays of numbers.
 
@@ -115,6 +171,27 @@ def lexical_similarity(pair: TablePair, column: str, min_frequency: int = 1) ->
     return row.withColumn("overall", overall).withColumn("rating", LEXICAL.column(F.col("overall")))
 
 
+def corpus_statistics(pair: TablePair, column: str) -> DataFrame:
+    """``(side, n_texts, n_empty, mean_words, std_words, mean_chars, std_chars, vocabulary_size)``, a row a side: 1 real, 0 fake."""
+    rows = pair.tagged([column]).select("side", F.col(column).cast("string").alias("text"))
+    size = F.size(tokens(F.col("text")))
+    sums = rows.groupBy("side").agg(
+        F.count("text").alias("n_texts"), F.count(F.when(F.coalesce(F.trim("text"), F.lit("")) == "", 1)).alias("n_empty"),
+        *[F.coalesce(f(F.when(F.col("text").isNotNull(), x)), F.lit(0.0)).alias(n) for n, f, x in (("mean_words", F.avg, size), ("std_words", F.stddev_samp, size), ("mean_chars", F.avg, F.length("text")), ("std_chars", F.stddev_samp, F.length("text")))],
+    )
+    counts = token_counts(pair, column).agg(F.count(F.when(F.col("real") > 0, 1)).alias("s1"), F.count(F.when(F.col("fake") > 0, 1)).alias("s0"))
+    return sums.join(F.broadcast(counts)).select("side", "n_texts", "n_empty", "mean_words", "std_words", "mean_chars", "std_chars", F.when(F.col("side") == 1, F.col("s1")).otherwise(F.col("s0")).alias("vocabulary_size"))
+
+
+def text_similarity(pair: TablePair, column: str, vector_column: str | None = None, **tfidf) -> DataFrame:
+    """One row ``(word_length, char_length, vocabulary, tfidf[, semantic], overall)``: up to five scores and their plain mean."""
+    row = lexical_similarity(pair, column).select(F.col("word_similarity").alias("word_length"), F.col("char_similarity").alias("char_length"), F.col("jaccard").alias("vocabulary"))
+    row = row.join(F.broadcast(tfidf_similarity(pair, column, **tfidf).select(F.col("cosine").alias("tfidf"))))
+    if vector_column:
+        row = row.join(F.broadcast(embedding_similarity(pair, vector_column).select(F.col("cosine").alias("semantic"))))
+    return row.withColumn("overall", _mean(*map(F.col, row.columns)))
+
+
 def _mean(*parts: Column) -> Column:
     return sum(parts[1:], parts[0]) / len(parts)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..pair import MISSING, TablePair
 from .assoc import association_pair
 from .basic import pca_projection
-from .dist import ecdf, spreads
+from .dist import spreads, steps_of
 
 SMALL = 1e-5
 
@@ -23,7 +24,7 @@ def mean_std(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame
 
 def cumulative(pair: TablePair, columns: Sequence[str] | None = None, points: int | None = None) -> DataFrame:
     """``(column, value, real, fake)``: both empirical distribution functions at each distinct value, or at about ``points`` of them."""
-    steps = ecdf(pair.long(columns))
+    steps = steps_of(pair, columns)
     out = steps.select("column", "value", (F.col("cr") / F.col("nr")).alias("real"), (F.col("cf") / F.col("nf")).alias("fake"), (F.col("cr") + F.col("cf")).alias("__c"), (F.col("a") + F.col("b")).alias("__n"), (F.col("nr") + F.col("nf")).alias("__t"))
     if points:
         at = lambda c: F.floor(c * points / F.col("__t"))
@@ -43,6 +44,26 @@ def histogram(pair: TablePair, columns: Sequence[str] | None = None, bins: int =
     )
 
 
+def density(pair: TablePair, columns: Sequence[str] | None = None, points: int = 200, cells: int = 2000) -> DataFrame:
+    """``(column, at, real, fake)``: Gaussian kernel densities at ``points`` places over both sides' range, bandwidth std * n^(-1/5).
+
+    Values are counted in ``cells`` equal cells first, so that what is compared with
+    the points doesn't grow with the table.
+    """
+    long = pair.long(columns)
+    own = spreads(pair, columns)
+    span = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).join(F.broadcast(own), "column")
+    wide = F.coalesce(F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(1.0))
+    span = span.select("column", "lo", wide.alias("wide"), *[(F.coalesce(F.nullif(F.col(f"std_{s}"), F.lit(0.0)), wide / cells) * F.pow(F.col(f"n_{s}").cast("double"), F.lit(-0.2))).alias(f"h_{s}") for s in "rf"], "n_r", "n_f")
+    cell = F.least(F.lit(cells - 1), F.floor((F.col("value") - F.col("lo")) / F.col("wide") * cells)).cast("int")
+    counted = long.join(F.broadcast(span), "column").groupBy("column", cell.alias("cell")).agg(F.sum("side").alias("a"), F.sum(1 - F.col("side")).alias("b"))
+    places = counted.join(F.broadcast(span), "column").withColumn("x", F.col("lo") + (F.col("cell") + 0.5) * F.col("wide") / cells)
+    places = places.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("lo") + F.col("k") * F.col("wide") / (points - 1))
+    bell = lambda h: F.exp(-0.5 * F.pow((F.col("at") - F.col("x")) / F.col(h), F.lit(2.0))) / (F.col(h) * (2 * math.pi) ** 0.5)
+    share = lambda c, h, n: F.coalesce(F.sum(F.try_divide(F.col(c) * bell(h), F.col(n).cast("double"))), F.lit(0.0))
+    return places.groupBy("column", "k", "at").agg(share("a", "h_r", "n_r").alias("real"), share("b", "h_f", "n_f").alias("fake")).select("column", "at", "real", "fake")
+
+
 def category_shares(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, category, real, fake)``: shares over the union of categories; a missing value is ``[NAN]``."""
     own = list(columns or pair.categorical)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Hashable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +47,14 @@ class TablePair:
     seed: int = SEED
     name: str = ""
     notes: tuple[str, ...] = field(default=())
+    #: Tables that several measures share, by what they are; a changed pair starts with none.
+    kept: dict = field(init=False, default_factory=dict, compare=False, repr=False)
+
+    def once(self, what: Hashable, make: Callable[[], DataFrame]) -> DataFrame:
+        """``make()`` the first time, the same table from then on."""
+        if what not in self.kept:
+            self.kept[what] = make()
+        return self.kept[what]
 
     @classmethod
     def of(cls, real: DataFrame, fake: DataFrame, cat_cols: Sequence[str] | None = None, text_cols: Sequence[str] = (), unique_thresh: int = 0, seed: int = SEED, name: str = "") -> TablePair:

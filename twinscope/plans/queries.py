@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ratings, scalar
 from ..functions.text import SQL_TOKENS, STOP_WORDS
+from .. import work
 from ..operators import assoc, basic, dist, encode, kernel, ml, privacy, text, viz
 from ..pair import TablePair
-from ..plans.report import CATALOGUE, FidelityReport, Settings, available_metrics
+from ..plans.report import FidelityReport, Settings, available_metrics
+from ..sources import files
+from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,7 +62,7 @@ def orders(spark: SparkSession, sf_dir: str) -> TablePair:
 
 
 def shifted(spark: SparkSession, sf_dir: str) -> TablePair:
-    rows = _table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select("l_quantity", "l_discount")
+    rows = _table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount")
     return TablePair.of(rows, rows.select((F.col("l_quantity") * 1.1 + 1).alias("l_quantity"), (F.col("l_discount") * 0.9).alias("l_discount")))
 
 
@@ -81,10 +84,10 @@ def _long_sql(columns: list[str] = NUMBERS, table: str = "lineitem", key: str =
 
 
 SHIFTED_SQL = """l AS (
-  SELECT 'l_quantity' AS c, l_quantity AS x, 1 AS s FROM lineitem WHERE l_orderkey % 2 = 0
-  UNION ALL SELECT 'l_quantity', l_quantity * CAST(1.1 AS DOUBLE) + 1, 0 FROM lineitem WHERE l_orderkey % 2 = 0
-  UNION ALL SELECT 'l_discount', l_discount, 1 FROM lineitem WHERE l_orderkey % 2 = 0
-  UNION ALL SELECT 'l_discount', l_discount * CAST(0.9 AS DOUBLE), 0 FROM lineitem WHERE l_orderkey % 2 = 0)"""
+  SELECT 'l_quantity' AS c, l_quantity AS x, 1 AS s FROM lineitem
+  UNION ALL SELECT 'l_quantity', l_quantity * CAST(1.1 AS DOUBLE) + 1, 0 FROM lineitem
+  UNION ALL SELECT 'l_discount', l_discount, 1 FROM lineitem
+  UNION ALL SELECT 'l_discount', l_discount * CAST(0.9 AS DOUBLE), 0 FROM lineitem)"""
 ECDF_SQL = """g AS (SELECT c, x, sum(s) AS a, sum(1 - s) AS b FROM l GROUP BY c, x),
 e AS (SELECT c, x, a, b, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY c) AS na, sum(b) OVER (PARTITION BY c) AS nb,
       lead(x) OVER (PARTITION BY c ORDER BY x) AS nx FROM g WINDOW w AS (PARTITION BY c ORDER BY x)),
@@ -104,7 +107,7 @@ def align_columns(spark, sf_dir):
     return fake
 
 
-@_query("SELECT * FROM (VALUES ('l_quantity','numerical',false),('l_extendedprice','numerical',false),('l_discount','categorical',false),('l_tax','categorical',false),('l_returnflag','categorical',false),('l_linestatus','categorical',false)) t(\"column\", role, is_text)")
+@_query("SELECT \"column\", CASE WHEN number AND values_ > 11 THEN 'numerical' ELSE 'categorical' END AS role, false AS is_text FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {str(c in NUMBERS).lower()} AS number, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS values_ FROM lineitem" for c in (*NUMBERS, "l_returnflag", "l_linestatus")) + ")")
 def column_roles(spark, sf_dir):
     own = _table(spark, sf_dir, "lineitem").select(*NUMBERS, "l_returnflag", "l_linestatus")
     return TablePair.of(own, own, unique_thresh=11).roles()
@@ -151,7 +154,8 @@ def sample_pair(spark, sf_dir):
     return p.real.withColumn("side", F.lit("real")).unionByName(p.fake.withColumn("side", F.lit("fake")))
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{m}')" for f, ms in CATALOGUE.items() for m in ms) + ") t(family, measure)")
+@_query("""SELECT * FROM (VALUES ('statistical', 'wasserstein'), ('statistical', 'mmd'), ('statistical', 'transport'), ('privacy', 'k_anonymity'), ('privacy', 'l_diversity'),
+('privacy', 'membership'), ('ml', 'estimators'), ('ml', 'utility'), ('ml', 'targets'), ('text', 'lexical'), ('text', 'tfidf'), ('text', 'semantic')) t(family, measure)""")
 def available_metrics_catalogue(spark, sf_dir):
     return available_metrics(spark)
 
@@ -208,14 +212,27 @@ def basic_statistics_spearman(spark, sf_dir):
     return spark.createDataFrame([(round(rho, 6),)], "rho double")
 
 
-@_query()
+_PCA_SQL = """WITH v AS (SELECT l_orderkey % 2 AS k, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_extendedprice) AS b, var_samp(l_extendedprice) AS c, avg(l_quantity) AS ma, avg(l_extendedprice) AS mc FROM lineitem GROUP BY 1),
+e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM v),
+r AS (SELECT * FROM e WHERE k = 0), f AS (SELECT * FROM e WHERE k = 1)"""
+
+
+@_query(_PCA_SQL + " SELECT round(1 - (abs((r.l1 - f.l1) / r.l1) + abs((r.l2 - f.l2) / r.l2)) / 2, 6) AS value FROM r, f")
 def pca_correlation(spark, sf_dir):
-    return spark.createDataFrame([(float(basic.pca_correlation(lines(spark, sf_dir))),)], "value double")
+    value = basic.pca_correlation(lines(spark, sf_dir), ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([(round(float(value), 6),)], "value double")
 
 
-@_query()
+@_query(_PCA_SQL + """, x AS (SELECT ma, mc, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS p, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS q FROM r)
+SELECT CAST(1 - l_orderkey % 2 AS INTEGER) AS side, count(*) AS n, round(stddev_samp((l_quantity - ma) * p + (l_extendedprice - mc) * q), 4) AS std1, round(stddev_samp(abs((l_extendedprice - mc) * p - (l_quantity - ma) * q)), 4) AS spread2 FROM lineitem, x GROUP BY 1""")
 def pca_projection(spark, sf_dir):
-    return viz.pca_points(lines(spark, sf_dir)).groupBy("side").agg(_r(F.avg("pc1")).alias("pc1"), _r(F.avg("pc2")).alias("pc2"), F.count("*").alias("n"))
+    points = basic.pca_projection(lines(spark, sf_dir), ["l_quantity", "l_extendedprice"])
+    return points.groupBy(F.col("side").cast("int").alias("side")).agg(F.count("*").alias("n"), _r(F.stddev_samp("pc1"), 4).alias("std1"), _r(F.stddev_samp(F.abs("pc2")), 4).alias("spread2"))
+
+
+@_query()
+def pca_correlation_all_columns(spark, sf_dir):
+    return spark.createDataFrame([(float(basic.pca_correlation(lines(spark, sf_dir))),)], "value double")
 
 
 # --- associations ---------------------------------------------------------------------------------
@@ -272,21 +289,20 @@ def _mean_rank(c: str) -> str:
     return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 
 
-@_query(" UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(abs(corr(a, b)), 6) AS value FROM (SELECT {_mean_rank(a)} AS a, {_mean_rank(b)} AS b FROM lineitem)" for a, b in _UPPER[:3]))
+@_query(" UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(abs(corr(a, b)), 6) AS value FROM (SELECT {_mean_rank(a)} AS a, {_mean_rank(b)} AS b FROM lineitem)" for a, b in _UPPER))
 def spearman_pairs(spark, sf_dir):
-    return assoc.spearman(_table(spark, sf_dir, "lineitem"), _UPPER[:3]).select("col_a", "col_b", _r("value"))
+    return assoc.spearman(_table(spark, sf_dir, "lineitem"), _UPPER).select("col_a", "col_b", _r("value"))
 
 
-@_query("""WITH s AS (SELECT l_quantity AS a, l_extendedprice AS b, row_number() OVER () AS i FROM (SELECT l_quantity, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_quantity LIMIT 400))
-SELECT 'l_extendedprice' AS col_a, 'l_quantity' AS col_b, round(abs(sum(sign(x.a - y.a) * sign(x.b - y.b)) / sqrt(sum(abs(sign(x.a - y.a))) * sum(abs(sign(x.b - y.b))))), 6) AS value FROM s x, s y""")
+@_query("""WITH s AS (SELECT p_retailprice AS a, CAST(p_size AS DOUBLE) AS b FROM part)
+SELECT 'p_retailprice' AS col_a, 'p_size' AS col_b, round(abs(sum(sign(x.a - y.a) * sign(x.b - y.b)) / (sqrt(sum(abs(sign(x.a - y.a)))) * sqrt(sum(abs(sign(x.b - y.b)))))), 6) AS value FROM s x, s y""")
 def kendall_pairs(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity").orderBy("l_extendedprice", "l_quantity").limit(400)
-    return assoc.kendall(rows, [("l_extendedprice", "l_quantity")]).select("col_a", "col_b", _r("value"))
+    return assoc.kendall(_table(spark, sf_dir, "part"), [("p_retailprice", "p_size")]).select("col_a", "col_b", _r("value"))
 
 
 @_query()
 def kendall_pairs_all_rows(spark, sf_dir):
-    """``kendall_pairs`` over the whole table, too long for the SQL's comparison of all pairs of rows."""
+    """Over a table too long for the SQL's comparison of all pairs of rows."""
     return assoc.kendall(_table(spark, sf_dir, "lineitem"), [("l_extendedprice", "l_quantity")]).select("col_a", "col_b", _r("value"))
 
 
@@ -326,8 +342,26 @@ def correlation_difference(spark, sf_dir):
     return viz.correlation_difference(_status(spark, sf_dir)).select("col_a", "col_b", _r("real"), _r("fake"), _r("difference"))
 
 
-@_query()
+def _matrix_sql(k: int) -> str:
+    """The off-diagonal Theil matrix of one side of ``orders``, as (x, y, v)."""
+    where = f"o_orderkey % 2 = {k}"
+    own = f"(SELECT * FROM orders WHERE {where})"
+    u = lambda x, y: _U_SQL.format(x, y, "na", "nb").replace("FROM k)", "FROM (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS t FROM (SELECT {0} AS a, {1} AS b, count(*) AS n FROM {2} GROUP BY 1, 2)))".format(x, y, own)).replace("round(greatest(0, least(1, (hx - hxy) / hx)), 6)", "greatest(0, least(1, (hx - hxy) / hx))")
+    eta = lambda c: _ETA_SQL.format(g=c, v="o_totalprice", t=own).replace("round(sqrt(b / w), 6)", "sqrt(b / w)")
+    cats = ("o_orderstatus", "o_orderpriority")
+    parts = [u(*cats), u(*cats[::-1])]
+    for c in cats:
+        parts += [f"SELECT col_a, col_b, value FROM ({eta(c)})", f"SELECT col_b, col_a, value FROM ({eta(c)})"]
+    return " UNION ALL ".join(f"SELECT * FROM ({x})" for x in parts)
+
+
+@_query(f"WITH r AS ({_matrix_sql(0)}), f AS ({_matrix_sql(1)}) SELECT round(corr(r.value, f.value), 6) AS correlation FROM r JOIN f USING (col_a, col_b)")
 def correlation_correlation(spark, sf_dir):
+    return assoc.correlation_correlation(orders(spark, sf_dir)).select(_r("correlation"))
+
+
+@_query()
+def correlation_correlation_all_kinds(spark, sf_dir):
     return assoc.correlation_correlation(lines(spark, sf_dir)).select(_r("correlation"))
 
 
@@ -389,7 +423,7 @@ def wasserstein_rating(spark, sf_dir):
 
 @_query()
 def wasserstein_2d(spark, sf_dir):
-    return dist.wasserstein_2d(shifted(spark, sf_dir), max_samples=200).select("column", _r("distance"), "converged")
+    return dist.wasserstein_2d(shifted(spark, sf_dir)).select("column", _r("distance"), "converged", "n_real", "n_fake")
 
 
 @_query(f"""WITH {SHIFTED_SQL}, r AS (SELECT c, min(x) AS lo, max(x) AS hi, least(25, count(*)) AS k FROM l WHERE s = 1 GROUP BY c),
@@ -411,6 +445,15 @@ def transport_cost(spark, sf_dir):
     return dist.transport_cost(shifted(spark, sf_dir)).select("column", _r("cost"))
 
 
+@_query(f"""WITH {SHIFTED_SQL}, r AS (SELECT c, min(x) AS lo, max(x) AS hi, CAST(sum(s) AS DOUBLE) AS nr, CAST(sum(1 - s) AS DOUBLE) AS nf FROM l GROUP BY c),
+b AS (SELECT l.c, least(49, CAST(floor((x - lo) / ((hi - lo) / 50)) AS INTEGER)) AS bin, sum(s) / any_value(nr) AS p, sum(1 - s) / any_value(nf) AS q FROM l JOIN r ON l.c = r.c GROUP BY 1, 2),
+u AS (SELECT *, sum(p) OVER w AS up, sum(q) OVER w AS uq FROM b WINDOW w AS (PARTITION BY c ORDER BY bin)),
+m AS (SELECT x.c, x.bin AS source, y.bin AS target, least(x.up, y.uq) - greatest(x.up - x.p, y.uq - y.q) AS mass FROM u x JOIN u y ON x.c = y.c AND x.p > 0 AND y.q > 0)
+SELECT c AS "column", source, target, round(mass, 6) AS mass FROM m WHERE mass > 1e-6""")
+def transport_plan(spark, sf_dir):
+    return dist.transport_plan(shifted(spark, sf_dir)).where("mass > 1e-6").select("column", "source", "target", _r("mass"))
+
+
 _MOMENTS_SQL = f"WITH {SHIFTED_SQL}, m AS (SELECT c, CAST(count(*) FILTER (s = 1) AS DOUBLE) AS n, CAST(count(*) FILTER (s = 0) AS DOUBLE) AS k, sum(x) FILTER (s = 1) AS r1, sum(x) FILTER (s = 0) AS f1, sum(x * x) FILTER (s = 1) AS r2, sum(x * x) FILTER (s = 0) AS f2, sum(x * x * x) FILTER (s = 1) AS r3, sum(x * x * x) FILTER (s = 0) AS f3, sum((x * x + 1) * (x * x + 1) * (x * x + 1)) FILTER (s = 1) AS dr, sum((x * x + 1) * (x * x + 1) * (x * x + 1)) FILTER (s = 0) AS df FROM l GROUP BY c) "
 
 
@@ -425,18 +468,18 @@ def mmd_polynomial(spark, sf_dir):
     return kernel.mmd_polynomial(shifted(spark, sf_dir)).select("column", _r(F.log2(1 + F.col("mmd_squared"))).alias("log_mmd_squared"))
 
 
-_SAMPLE_SQL = """a AS (SELECT value AS x, row_number() OVER () AS i FROM (SELECT value FROM events WHERE event_id % 2 = 0 AND event_id < 400 ORDER BY value)),
-b AS (SELECT value AS x, row_number() OVER () AS i FROM (SELECT value FROM events WHERE event_id % 2 = 1 AND event_id < 400 ORDER BY value))"""
+_RBF_SQL = """a AS (SELECT value AS x, row_number() OVER () AS i FROM events WHERE event_id % 2 = 0 AND value IS NOT NULL),
+b AS (SELECT value AS x, row_number() OVER () AS i FROM events WHERE event_id % 2 = 1 AND value IS NOT NULL),
+p AS (SELECT 'xx' AS m, p.i = q.i AS same, (p.x - q.x) * (p.x - q.x) AS d2 FROM a p, a q UNION ALL SELECT 'yy', p.i = q.i, (p.x - q.x) * (p.x - q.x) FROM b p, b q UNION ALL SELECT 'xy', false, (p.x - q.x) * (p.x - q.x) FROM a p, b q),
+g AS (SELECT m, 1 / (2 * pow(quantile_cont(sqrt(d2), 0.5) FILTER (d2 > 0), 2)) AS g FROM p GROUP BY m),
+v AS (SELECT p.m, sum(exp(-g * d2)) FILTER (NOT same) AS v FROM p JOIN g ON p.m = g.m GROUP BY p.m),
+n AS (SELECT CAST((SELECT count(*) FROM a) AS DOUBLE) AS n, CAST((SELECT count(*) FROM b) AS DOUBLE) AS k),
+rbf AS (SELECT greatest(0, (SELECT v FROM v WHERE m = 'xx') / (n * (n - 1)) + (SELECT v FROM v WHERE m = 'yy') / (k * (k - 1)) - 2 * (SELECT v FROM v WHERE m = 'xy') / (n * k)) AS x FROM n)"""
 
 
-@_query(f"""WITH {_SAMPLE_SQL}, k AS (SELECT 'xx' AS m, p.i = q.i AS same, (p.x - q.x) * (p.x - q.x) AS d2 FROM a p, a q UNION ALL SELECT 'yy', p.i = q.i, (p.x - q.x) * (p.x - q.x) FROM b p, b q UNION ALL SELECT 'xy', false, (p.x - q.x) * (p.x - q.x) FROM a p, b q),
-g AS (SELECT m, 1 / (2 * pow(quantile_cont(sqrt(d2), 0.5) FILTER (d2 > 0), 2)) AS g FROM k GROUP BY m),
-v AS (SELECT k.m, same, exp(-g * d2) AS v FROM k JOIN g ON k.m = g.m),
-n AS (SELECT CAST((SELECT count(*) FROM a) AS DOUBLE) AS n, CAST((SELECT count(*) FROM b) AS DOUBLE) AS k)
-SELECT round(greatest(0, (SELECT sum(v) FROM v WHERE m = 'xx' AND NOT same) / (n * (n - 1)) + (SELECT sum(v) FROM v WHERE m = 'yy' AND NOT same) / (k * (k - 1)) - 2 * (SELECT sum(v) FROM v WHERE m = 'xy') / (n * k)), 6) AS mmd_squared FROM n""")
+@_query(f"WITH {_RBF_SQL} SELECT round(x, 6) AS mmd_squared FROM rbf")
 def mmd_rbf_sample(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("event_id < 400")
-    return kernel.mmd_rbf(_split(e, "event_id", ["value"]), max_samples=300).select(_r("mmd_squared"))
+    return kernel.mmd_rbf(events(spark, sf_dir)).select(_r("mmd_squared"))
 
 
 @_query(_MOMENTS_SQL.replace("FROM l GROUP BY c)", "FROM l GROUP BY c), t AS (SELECT sum(v) AS v FROM (SELECT r1 * r1 / (n * n) + f1 * f1 / (k * k) - 2 * r1 * f1 / (n * k) AS v FROM m))") + "SELECT round(greatest(0, v), 5) AS mmd_squared FROM t")
@@ -444,9 +487,22 @@ def mmd_multivariate(spark, sf_dir):
     return kernel.mmd_multivariate(shifted(spark, sf_dir), kernel="linear", unbiased=False).select(_r("mmd_squared", 5))
 
 
-@_query()
+@_query(f"""WITH {_RBF_SQL}, s AS (SELECT CAST(count(*) FILTER (event_id % 2 = 0) AS DOUBLE) AS n, CAST(count(*) FILTER (event_id % 2 = 1) AS DOUBLE) AS k,
+{", ".join(f"sum(pow(value, {d})) FILTER (event_id % 2 = {j}) AS {side}{d}" for d in (1, 2, 3) for j, side in enumerate("rf"))},
+{", ".join(f"sum(pow(value * value + 1, 3)) FILTER (event_id % 2 = {j}) AS d{side}" for j, side in enumerate("rf"))} FROM events WHERE value IS NOT NULL),
+o AS (SELECT 'rbf' AS kernel, x FROM rbf UNION ALL SELECT 'linear', greatest(0, (r1 * r1 - r2) / (n * (n - 1)) + (f1 * f1 - f2) / (k * (k - 1)) - 2 * r1 * f1 / (n * k)) FROM s
+UNION ALL SELECT 'polynomial', greatest(0, (r3 * r3 + 3 * r2 * r2 + 3 * r1 * r1 + n * n - dr) / (n * (n - 1)) + (f3 * f3 + 3 * f2 * f2 + 3 * f1 * f1 + k * k - df) / (k * (k - 1)) - 2 * (r3 * f3 + 3 * r2 * f2 + 3 * r1 * f1 + n * k) / (n * k)) FROM s)
+SELECT kernel, round(log2(1 + x), 4) + 0.0 AS log_mean, round(1 / (1 + x), 6) AS quality, {ratings.MMD.sql("x")} AS rating, {ratings.DISCRIMINATION.sql("x")} AS discrimination, row_number() OVER (ORDER BY x DESC, kernel) = 1 AS best_kernel FROM o""")
 def mmd_evaluation(spark, sf_dir):
-    return kernel.mmd_evaluation(events(spark, sf_dir), max_samples=150)
+    e = kernel.mmd_evaluation(events(spark, sf_dir))
+    return e.select("kernel", _r(F.log2(1 + F.col("mean_mmd")), 4).alias("log_mean"), _r("quality"), "rating", "discrimination", "best_kernel")
+
+
+@_query()
+def mmd_custom(spark, sf_dir):
+    """A Laplace kernel given as a column function."""
+    laplace = lambda a, b: F.exp(-F.abs(a[0] - b[0]) / 50.0)
+    return kernel.mmd_custom(events(spark, sf_dir), laplace).select(_r("mmd_squared"))
 
 
 # --- privacy --------------------------------------------------------------------------------------
@@ -477,11 +533,11 @@ def duplicates(spark, sf_dir):
     return privacy.duplicates(parts(spark, sf_dir).real)
 
 
-@_query("""WITH q AS (SELECT p_partkey % 2 AS k, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b, row_number() OVER (PARTITION BY p_partkey % 2) AS i FROM part WHERE p_partkey <= 400),
-d AS (SELECT x.i, sqrt(min((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) AS d FROM q x, q y WHERE x.k = 0 AND y.k = 1 GROUP BY x.i) SELECT round(avg(d), 6) AS mean_distance, round(stddev_pop(d), 6) AS std_distance FROM d""")
+@_query("""WITH q AS (SELECT p_partkey % 2 AS k, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b, row_number() OVER (PARTITION BY p_partkey % 2) AS i FROM part),
+d AS (SELECT x.i, sqrt(min((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) AS d FROM q x, q y WHERE x.k = 0 AND y.k = 1 GROUP BY x.i) SELECT round(avg(d), 6) AS mean_distance, round(stddev_pop(d), 6) AS std_distance, count(*) AS n FROM d""")
 def row_distance(spark, sf_dir):
-    p = _split(_table(spark, sf_dir, "part").where("p_partkey <= 400"), "p_partkey", ["p_size", "p_retailprice"])
-    return privacy.row_distance(p).select(_r("mean_distance"), _r("std_distance"))
+    p = _split(_table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"])
+    return privacy.row_distance(p).select(_r("mean_distance"), _r("std_distance"), "n")
 
 
 _ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -523,14 +579,37 @@ def privacy_risk(spark, sf_dir):
 
 @_query()
 def membership_inference(spark, sf_dir):
-    return privacy.membership_attack(shifted(spark, sf_dir), max_samples=1000)
+    return privacy.membership_attack(shifted(spark, sf_dir))
+
+
+def _measures(found: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    rows = [(part, c, float(v)) for part, df in found.items() for r in df.collect() for c, v in r.asDict().items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    return spark.createDataFrame(rows, "part string, metric string, value double").select("part", "metric", _r("value"))
+
+
+_REPORT_SQL = """WITH c AS (SELECT p_brand, p_size, count(*) FILTER (p_partkey % 2 = 0) AS r, count(*) FILTER (p_partkey % 2 = 1) AS f FROM part GROUP BY 1, 2),
+k AS (SELECT count(*) AS n, count(DISTINCT p_size) AS l FROM part WHERE p_partkey % 2 = 1 GROUP BY p_brand),
+q AS (SELECT p_partkey % 2 AS k, CAST(p_size AS DOUBLE) AS a, row_number() OVER (PARTITION BY p_partkey % 2) AS i FROM part),
+d AS (SELECT x.i, min(abs(x.a - y.a)) AS d FROM q x, q y WHERE x.k = 0 AND y.k = 1 GROUP BY x.i),
+z AS (SELECT CAST((SELECT min(n) FROM k) AS DOUBLE) AS k, (SELECT CAST(sum(f) FILTER (r > 0) AS DOUBLE) / sum(f) FROM c) AS x)
+SELECT 'copies' AS part, 'copied' AS metric, CAST(sum(f) FILTER (r > 0) AS DOUBLE) AS value FROM c UNION ALL SELECT 'copies', 'fraction', round(x, 6) FROM z
+UNION ALL SELECT 'duplicates', 'real_duplicates', coalesce(sum(r) FILTER (r > 1), 0) FROM c UNION ALL SELECT 'duplicates', 'fake_duplicates', coalesce(sum(f) FILTER (f > 1), 0) FROM c
+UNION ALL SELECT 'row_distance', 'mean_distance', round(avg(d), 6) FROM d UNION ALL SELECT 'row_distance', 'std_distance', round(stddev_pop(d), 6) FROM d UNION ALL SELECT 'row_distance', 'n', count(*) FROM d
+UNION ALL SELECT 'k_anonymity', 'k', min(n) FROM k UNION ALL SELECT 'k_anonymity', 'classes', count(*) FROM k UNION ALL SELECT 'k_anonymity', 'mean_size', round(avg(n), 6) FROM k UNION ALL SELECT 'k_anonymity', 'violations', count(*) FILTER (n < 5) FROM k
+UNION ALL SELECT 'l_diversity_p_size', 'l', min(l) FROM k UNION ALL SELECT 'l_diversity_p_size', 'mean_l', round(avg(l), 6) FROM k UNION ALL SELECT 'l_diversity_p_size', 'below_2', count(*) FILTER (l < 2) FROM k
+UNION ALL SELECT 'risk', 'k', k FROM z UNION ALL SELECT 'risk', 'fraction', round(x, 6) FROM z UNION ALL SELECT 'risk', 'k_score', round(least(1, k / 10), 6) FROM z UNION ALL SELECT 'risk', 'membership_score', 1 FROM z
+UNION ALL SELECT 'risk', 'privacy_score', round(CASE WHEN k < 5 THEN k / 5 ELSE 1 END, 6) FROM z UNION ALL SELECT 'risk', 'overall_score', round(greatest(0, least(1, CASE WHEN k < 2 THEN 0.2 WHEN k < 5 THEN k / 5 ELSE 1 END * (1 - 2 * x))), 6) FROM z"""
+
+
+@_query(_REPORT_SQL)
+def privacy_report_measures(spark, sf_dir):
+    """The report without its attack, which SQL can't express."""
+    return _measures(privacy.privacy_evaluation(parts(spark, sf_dir), ["p_brand"], ["p_size"], membership=False)[0], spark)
 
 
 @_query()
 def privacy_report(spark, sf_dir):
-    found, advice = privacy.privacy_evaluation(parts(spark, sf_dir), ["p_brand"], ["p_size"], membership=False)
-    rows = [(name, ", ".join(df.columns), str(tuple(df.first()))) for name, df in found.items()] + [("advice", "text", a) for a in advice]
-    return spark.createDataFrame(rows, "part string, columns string, value string")
+    return _measures(privacy.privacy_evaluation(parts(spark, sf_dir), ["p_brand"], ["p_size"])[0], spark)
 
 
 # --- machine learning -----------------------------------------------------------------------------
@@ -562,7 +641,7 @@ def estimator_evaluation_regr(spark, sf_dir):
 
 @_query()
 def ml_utility(spark, sf_dir):
-    return ml.ml_utility(_labelled(spark, sf_dir), "quality", models=["logistic_regression"])
+    return ml.ml_utility(_labelled(spark, sf_dir), "quality")
 
 
 @_query()
@@ -572,7 +651,21 @@ def tstr_report(spark, sf_dir):
 
 @_query()
 def ml_evaluation(spark, sf_dir):
-    return ml.ml_evaluation(_labelled(spark, sf_dir), ["toxic"], estimators=["DecisionTreeClassifier"])
+    return ml.ml_evaluation(_labelled(spark, sf_dir), ["toxic", "n_chars"])
+
+
+@_query()
+def tstr_scores(spark, sf_dir):
+    """Train on either side, test on the real one: classes and numbers."""
+    pair = _labelled(spark, sf_dir)
+    out = ml.train_test_on_synthetic(pair, "quality").withColumn("target", F.lit("quality"))
+    return out.unionByName(ml.train_test_on_synthetic(pair, "n_chars", "regression").withColumn("target", F.lit("n_chars")))
+
+
+@_query("SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS code, count(*) AS n FROM events GROUP BY event_type")
+def encode_features(spark, sf_dir):
+    coded = encode.encode_features(_table(spark, sf_dir, "events").select("event_type", "value"))
+    return coded.groupBy(F.col("event_type").cast("long").alias("code")).agg(F.count("*").alias("n"))
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -592,34 +685,48 @@ def vocabulary_overlap(spark, sf_dir):
     return text.vocabulary_overlap(texts(spark, sf_dir), "text", 2).select("real_size", "fake_size", "shared", _r("jaccard"), _r("diversity_ratio"))
 
 
+def _length_parts(size: str, n: str) -> str:
+    """Tables l, g, e, d, k of the lengths that ``size`` gives, their names ending in ``n``."""
+    ecdf = ECDF_SQL
+    for t in ("g", "e", "d"):
+        ecdf = ecdf.replace(f"FROM {t})", f"FROM {t}{n})").replace(f"FROM {t} ", f"FROM {t}{n} ").replace(f"{t} AS (SELECT", f"{t}{n} AS (SELECT")
+    ecdf = ecdf.replace("FROM l ", f"FROM l{n} ")
+    return f"""l{n} AS (SELECT 'x' AS c, CAST({size} AS DOUBLE) AS x, s FROM w JOIN documents USING (doc_id) WHERE {size} > 0), {ecdf},
+k{n} AS (SELECT max(gap) AS ks, sqrt(CAST(max(na) AS DOUBLE) * max(nb) / (max(na) + max(nb))) * max(gap) AS lam FROM d{n}),
+p{n} AS (SELECT ks, CAST(CASE WHEN lam < 0.04 THEN 1.0 ELSE greatest(0, least(1, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * lam * lam)) FROM range(1, 101) r(j)))) END AS DOUBLE) AS p FROM k{n})"""
+
+
 def _length_sql(size: str) -> str:
-    return f"WITH {_WORDS_SQL}, l AS (SELECT 'x' AS c, CAST({size} AS DOUBLE) AS x, s FROM w JOIN documents USING (doc_id) WHERE {size} > 0), {ECDF_SQL}, k AS (SELECT max(gap) AS ks FROM d) SELECT round(ks, 6) AS ks_statistic, round(1 - ks, 6) AS similarity, round(avg(x) FILTER (s = 1), 6) AS mean_real, round(avg(x) FILTER (s = 0), 6) AS mean_fake, round(stddev_samp(x) FILTER (s = 1), 6) AS std_real, round(stddev_samp(x) FILTER (s = 0), 6) AS std_fake FROM l, k GROUP BY ks"
+    return f"WITH {_WORDS_SQL}, {_length_parts(size, '1')} SELECT round(ks, 6) AS ks_statistic, round(p, 6) AS p_value, p < 0.05 AS significant, round(1 - ks, 6) AS similarity, round(avg(x) FILTER (s = 1), 6) AS mean_real, round(avg(x) FILTER (s = 0), 6) AS mean_fake, round(stddev_samp(x) FILTER (s = 1), 6) AS std_real, round(stddev_samp(x) FILTER (s = 0), 6) AS std_fake FROM l1, p1 GROUP BY ks, p"
 
 
 @_query(_length_sql("len(t)"))
 def text_length_word(spark, sf_dir):
     out = text.length_similarity(texts(spark, sf_dir), "text", "word")
-    return out.select(*[_r(c) for c in out.columns])
+    return out.select(*[_r(c) if c != "significant" else c for c in out.columns])
 
 
 @_query(_length_sql("length(text)"))
 def text_length_char(spark, sf_dir):
     out = text.length_similarity(texts(spark, sf_dir), "text", "char")
-    return out.select(*[_r(c) for c in out.columns])
+    return out.select(*[_r(c) if c != "significant" else c for c in out.columns])
 
 
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
-@_query(f"""WITH {_WORDS_SQL}, u AS (SELECT doc_id, s, list_filter(t, lambda x: length(x) >= 2 AND NOT list_contains({_STOP_SQL}, x)) AS t FROM w),
+_TFIDF_SQL = f"""u AS (SELECT doc_id, s, list_filter(t, lambda x: length(x) >= 2 AND NOT list_contains({_STOP_SQL}, x)) AS t FROM w),
 g AS (SELECT doc_id, s, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM u),
 c AS (SELECT doc_id, s, term, CAST(count(*) AS DOUBLE) AS tf FROM g GROUP BY ALL), n AS (SELECT CAST(sum(s) AS DOUBLE) AS n1, CAST(sum(1 - s) AS DOUBLE) AS n0 FROM u),
-v AS (SELECT term, ln((1 + n1 + n0) / (1 + df)) + 1 AS idf FROM (SELECT term, CAST(count(*) AS DOUBLE) AS df, sum(tf) AS total FROM c GROUP BY term), n WHERE df >= 2 AND df <= 0.95 * (n1 + n0) ORDER BY total DESC, term LIMIT 1000),
+v AS (SELECT term, ln((1 + n1 + n0) / (1 + df)) + 1 AS idf FROM (SELECT term, CAST(count(*) AS DOUBLE) AS df, sum(tf) AS total FROM c GROUP BY term), n WHERE df >= 2 AND df <= 0.95 * (n1 + n0) ORDER BY total DESC, term LIMIT 10000),
 x AS (SELECT doc_id, s, term, tf * idf AS w FROM c JOIN v USING (term)), y AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id),
-m AS (SELECT term, sum(CASE WHEN s = 1 THEN w / norm ELSE 0 END) / any_value(n1) AS r, sum(CASE WHEN s = 0 THEN w / norm ELSE 0 END) / any_value(n0) AS f FROM x JOIN y USING (doc_id), n GROUP BY term)
-SELECT round(sum(r * f) / (sqrt(sum(r * r)) * sqrt(sum(f * f))), 6) AS cosine, round(1 - sum(r * f) / (sqrt(sum(r * r)) * sqrt(sum(f * f))), 6) AS distance, count(*) AS vocabulary_size, round(sqrt(sum(r * r)), 6) AS norm_real, round(sqrt(sum(f * f)), 6) AS norm_fake FROM m""")
+m AS (SELECT term, sum(CASE WHEN s = 1 THEN w / norm ELSE 0 END) / any_value(n1) AS r, sum(CASE WHEN s = 0 THEN w / norm ELSE 0 END) / any_value(n0) AS f FROM x JOIN y USING (doc_id), n GROUP BY term),
+z AS (SELECT sum(r * f) / (sqrt(sum(r * r)) * sqrt(sum(f * f))) AS cosine, count(*) AS vocabulary_size, sqrt(sum(r * r)) AS norm_real, sqrt(sum(f * f)) AS norm_fake FROM m)"""
+
+
+@_query(f"WITH {_WORDS_SQL}, {_TFIDF_SQL} SELECT round(cosine, 6) AS cosine, round(1 - cosine, 6) AS distance, vocabulary_size, round(norm_real, 6) AS norm_real, round(norm_fake, 6) AS norm_fake FROM z")
 def tfidf_similarity(spark, sf_dir):
-    out = text.tfidf_similarity(texts(spark, sf_dir), "text", max_features=1000)
+    out = text.tfidf_similarity(texts(spark, sf_dir), "text")
     return out.select(_r("cosine"), _r("distance"), "vocabulary_size", _r("norm_real"), _r("norm_fake"))
 
 
@@ -632,21 +739,51 @@ def embedding_similarity(spark, sf_dir):
     return text.embedding_similarity(TablePair(side(0), side(1), (), ()), "embedding").select(_r("cosine"), "n_real", "n_fake")
 
 
-@_query()
+_LEXICAL_SQL = f"""WITH {_WORDS_SQL}, {_length_parts("len(t)", "1")}, {_length_parts("length(text)", "2")},
+tc AS (SELECT token, sum(s) AS r, sum(1 - s) AS f FROM (SELECT s, unnest(t) AS token FROM w) GROUP BY token),
+voc AS (SELECT CAST(count(*) FILTER (r > 0 AND f > 0) AS DOUBLE) / count(*) AS jaccard, CAST(count(*) FILTER (f > 0) AS DOUBLE) / count(*) FILTER (r > 0) AS ratio FROM tc),
+lex AS (SELECT 1 - p1.ks AS word, 1 - p2.ks AS chars, jaccard, ratio, (1 - p1.ks + 1 - p2.ks + jaccard) / 3 AS overall FROM p1, p2, voc)"""
+
+
+@_query(_LEXICAL_SQL + f" SELECT round(word, 6) AS word_similarity, round(chars, 6) AS char_similarity, round(jaccard, 6) AS jaccard, round(ratio, 6) AS diversity_ratio, round(overall, 6) AS overall, {ratings.LEXICAL.sql('overall')} AS rating FROM lex")
 def lexical_similarity(spark, sf_dir):
     out = text.lexical_similarity(texts(spark, sf_dir), "text")
     return out.select(*[_r(c) if c != "rating" else c for c in out.columns])
 
 
-@_query()
+_TEXT_SQL = _LEXICAL_SQL + f", {_TFIDF_SQL}, both_ AS (SELECT overall AS lexical, cosine AS tfidf, jaccard, word, chars, (overall + cosine) / 2 AS overall, abs(overall - cosine) / 2 AS spread FROM lex, z) "
+
+
+@_query(_TEXT_SQL + f"""SELECT 'text' AS "column", round(lexical, 6) AS lexical, round(tfidf, 6) AS tfidf, round(jaccard, 6) AS jaccard, round(overall, 6) AS overall, {ratings.TEXT_OVERALL.sql("overall")} AS rating, {ratings.CONSISTENCY.sql("spread")} AS consistency, CAST(NULL AS VARCHAR) AS error FROM both_""")
 def text_evaluation(spark, sf_dir):
-    report = FidelityReport(texts(spark, sf_dir))
-    return report.text()[0]
+    out = FidelityReport(texts(spark, sf_dir)).text()[0]
+    return out.select(*[_r(c) if c in ("lexical", "tfidf", "jaccard", "overall") else c for c in out.columns])
 
 
-@_query()
+@_query(_TEXT_SQL + f"SELECT round(overall, 6) AS overall, {ratings.TEXT_OVERALL.sql('overall')} AS rating FROM both_")
 def text_quick_evaluation(spark, sf_dir):
-    return text.quick_text_evaluation(texts(spark, sf_dir), "text")
+    return text.quick_text_evaluation(texts(spark, sf_dir), "text").select(_r("overall"), "rating")
+
+
+@_query(_TEXT_SQL + "SELECT round(word, 6) AS word_length, round(chars, 6) AS char_length, round(jaccard, 6) AS vocabulary, round(tfidf, 6) AS tfidf, round((word + chars + jaccard + tfidf) / 4, 6) AS overall FROM both_")
+def text_similarity(spark, sf_dir):
+    out = text.text_similarity(texts(spark, sf_dir), "text")
+    return out.select(*map(_r, out.columns))
+
+
+@_query(_TEXT_SQL + "SELECT 'text' AS type, round(overall, 6) AS mean, round(overall, 6) AS median, round(overall, 6) AS min, round(overall, 6) AS max, CAST(1 AS BIGINT) AS columns, CAST(NULL AS VARCHAR) AS error FROM both_")
+def text_summary(spark, sf_dir):
+    out = FidelityReport(texts(spark, sf_dir)).text_summary()
+    return out.select("type", *[_r(c) for c in ("mean", "median", "min", "max")], "columns", "error")
+
+
+@_query(f"""WITH {_WORDS_SQL}, t AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS side, doc_id, text FROM documents),
+v AS (SELECT s AS side, count(DISTINCT token) AS vocabulary_size FROM (SELECT s, unnest(t) AS token FROM w) GROUP BY s)
+SELECT side, count(text) AS n_texts, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_empty, round(avg(len(w.t)), 6) AS mean_words, round(stddev_samp(len(w.t)), 6) AS std_words,
+round(avg(length(text)), 6) AS mean_chars, round(stddev_samp(length(text)), 6) AS std_chars, any_value(vocabulary_size) AS vocabulary_size FROM t LEFT JOIN w USING (doc_id) JOIN v USING (side) GROUP BY side""")
+def text_corpus_statistics(spark, sf_dir):
+    out = text.corpus_statistics(texts(spark, sf_dir), "text")
+    return out.select("side", "n_texts", "n_empty", *[_r(c) for c in ("mean_words", "std_words", "mean_chars", "std_chars")], "vocabulary_size")
 
 
 # --- plot data ------------------------------------------------------------------------------------
@@ -679,29 +816,119 @@ def label_heights(spark, sf_dir):
     return viz.row_heights(_table(spark, sf_dir, "part"), ["p_brand", "p_type"]).select("column", "longest", _r("height"))
 
 
-@_query()
+def _mean_std_sql(name: str, table: str) -> str:
+    return f"SELECT '{name}' AS dataset, c AS \"column\", round(ln(abs(avg(x) FILTER (s = 1)) + 1e-5), 6) AS log_mean_real, round(ln(abs(avg(x) FILTER (s = 0)) + 1e-5), 6) AS log_mean_fake, round(ln(stddev_samp(x) FILTER (s = 1) + 1e-5), 6) AS log_std_real, round(ln(stddev_samp(x) FILTER (s = 0) + 1e-5), 6) AS log_std_fake FROM {table} GROUP BY c"
+
+
+@_query(f"WITH {_long_sql()}, {SHIFTED_SQL.replace('l AS (', 'h AS (', 1)} " + _mean_std_sql("split", "l") + " UNION ALL " + _mean_std_sql("shifted", "h"))
 def mean_std_comparison(spark, sf_dir):
-    return viz.several({"split": lines(spark, sf_dir), "shifted": shifted(spark, sf_dir)}, viz.mean_std)
+    out = viz.several({"split": lines(spark, sf_dir), "shifted": shifted(spark, sf_dir)}, viz.mean_std)
+    return out.select(*[_r(c) if c.startswith("log_") else c for c in out.columns])
 
 
-@_query()
+@_query(_theil_sides_sql() + ", s AS (SELECT * FROM p UNION ALL SELECT col_a, col_b, f, r FROM p) SELECT 'orders' AS dataset, col_a, col_b, round(r, 6) AS real, round(f, 6) AS fake, round(abs(r - f), 6) AS difference FROM p UNION ALL SELECT 'turned', col_a, col_b, round(f, 6), round(r, 6), round(abs(r - f), 6) FROM p")
 def correlation_comparison(spark, sf_dir):
-    return viz.several({"orders": _status(spark, sf_dir)}, viz.correlation_difference)
+    own = _status(spark, sf_dir)
+    turned = TablePair.of(own.fake, own.real)
+    out = viz.several({"orders": own, "turned": turned}, viz.correlation_difference)
+    return out.select("dataset", "col_a", "col_b", _r("real"), _r("fake"), _r("difference"))
+
+
+@_query(f"""WITH {_long_sql(["l_quantity"])}, m AS (SELECT s, CAST(count(*) AS DOUBLE) AS n, stddev_samp(x) AS sd FROM l GROUP BY s), r AS (SELECT min(x) AS lo, max(x) - min(x) AS w FROM l),
+q AS (SELECT s, least(1999, CAST(floor((x - lo) / w * 2000) AS INTEGER)) AS cell, count(*) AS k FROM l, r GROUP BY 1, 2),
+a AS (SELECT j, lo + j * w / 49 AS x FROM r, range(0, 50) t(j))
+SELECT 'l_quantity' AS "column", round(a.x, 6) AS at, {", ".join(f"round(sum(k / n * exp(-0.5 * pow((a.x - (lo + (cell + 0.5) * w / 2000)) / (sd * pow(n, -0.2)), 2)) / (sd * pow(n, -0.2) * sqrt(2 * pi()))) FILTER (q.s = {s}), 6) AS {name}" for s, name in ((1, "real"), (0, "fake")))}
+FROM a, r, q JOIN m USING (s) GROUP BY j, a.x""")
+def density_plot(spark, sf_dir):
+    return viz.density(lines(spark, sf_dir), ["l_quantity"], points=50).select("column", _r("at"), _r("real"), _r("fake"))
+
+
+@_query()
+def ecdf_plot_points(spark, sf_dir):
+    """The down-sampled curves: about 100 points a column."""
+    return viz.cumulative(lines(spark, sf_dir), points=100)
+
+
+@_query()
+def visual_evaluation(spark, sf_dir):
+    out: DataFrame | None = None
+    for name, df in FidelityReport(orders(spark, sf_dir)).plots().items():
+        row = df.agg(F.lit(name).alias("plot"), F.count("*").alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # --- composites -----------------------------------------------------------------------------------
 
 
+_COMBINED_SQL = f"""WITH {SHIFTED_SQL}, {ECDF_SQL}, w AS (SELECT c, coalesce(sum(gap * (nx - x)), 0) AS v FROM d GROUP BY c) SELECT c AS "column", round(v, 4) AS wasserstein_distance, '1D_p1' AS method, round(1 / (1 + v), 4) AS quality, {ratings.WASSERSTEIN.sql("v")} AS rating FROM w"""
+
+
+@_query(_COMBINED_SQL)
+def wasserstein_evaluation(spark, sf_dir):
+    out = FidelityReport(shifted(spark, sf_dir)).wasserstein()
+    return out.select("column", _r("wasserstein_distance", 4), "method", _r("quality", 4), "rating")
+
+
+@_query()
+def wasserstein_evaluation_2d(spark, sf_dir):
+    return FidelityReport(shifted(spark, sf_dir)).wasserstein(include_2d=True)
+
+
 @_query()
 def statistical_report(spark, sf_dir):
-    found, advice = FidelityReport(shifted(spark, sf_dir)).statistical(max_samples=100)
+    found, advice = FidelityReport(shifted(spark, sf_dir)).statistical()
     return found["combined"].withColumn("advice", F.lit(advice[0]))
 
 
+@_query()
+def advanced_report(spark, sf_dir):
+    """All statistical and privacy parts: how many rows each has."""
+    found = FidelityReport(parts(spark, sf_dir), Settings(quasi_identifiers=("p_brand",), sensitive=("p_size",))).advanced()
+    out: DataFrame | None = None
+    for name, df in found.items():
+        row = df.agg(F.lit(name).alias("part"), F.count("*").alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @_query()
 def fidelity_report(spark, sf_dir):
-    settings = Settings(estimators=("DecisionTreeClassifier", "LogisticRegression"), n_samples_distance=200)
-    return FidelityReport(_labelled(spark, sf_dir), settings).evaluate("quality")
+    return FidelityReport(_labelled(spark, sf_dir)).evaluate("quality")
+
+
+@_query()
+def report_with_text(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text").join(_table(spark, sf_dir, "labels"), "doc_id")
+    own = _split(d, "doc_id", ["n_chars", "quality", "text"], text_cols=["text"])
+    return FidelityReport(own, Settings(estimators=("DecisionTreeClassifier",))).with_text("quality")
+
+
+@_query("""SELECT "column", CASE WHEN s = 1 THEN 1 ELSE 0 END AS side, count(*) AS n, round(avg(x), 6) AS mean FROM (
+SELECT 'value' AS "column", value AS x, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS s FROM events WHERE value IS NOT NULL) GROUP BY 1, 2""")
+def streaming_moments(spark, sf_dir):
+    """A stream over the files of ``events``, run to its end; the last state is the result."""
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    tagged = stream.select("value", (1 - F.col("event_id") % 2).cast("int").alias("side"))
+    return incremental.collected(incremental.running_moments(tagged, ["value"])).select("column", "side", "n", _r("mean"))
+
+
+@_query("SELECT n_name, n_nationkey, n_regionkey FROM nation")
+def load_csv(spark, sf_dir):
+    """A table written as CSV and loaded as a pair with itself."""
+    folder = work.new_folder(spark, "csv")
+    _table(spark, sf_dir, "nation").write.csv(folder, header=True)
+    real, _ = files.load_csv_pair(spark, folder, folder)
+    return real.select("n_name", "n_nationkey", "n_regionkey")
+
+
+@_query("SELECT 'l_discount' AS name, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'l_quantity', 1")
+def write_report(spark, sf_dir):
+    """A report's tables, written and read back."""
+    folder = work.new_folder(spark, "report")
+    files.write_report({"js": dist.js_distance(shifted(spark, sf_dir))}, folder)
+    return spark.read.parquet(f"{folder}/js").groupBy(F.col("column").alias("name")).agg(F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

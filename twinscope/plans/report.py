@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ratings import SIGNIFICANCE, statistical_advice, text_advice
+from ..functions.ratings import SIGNIFICANCE, WASSERSTEIN, statistical_advice, text_advice
 from ..operators import assoc, basic, dist, kernel, ml, privacy, text, viz
 from ..pair import TablePair
 
@@ -26,7 +27,7 @@ class Settings:
     """How a report runs; bounds are checked on creation."""
 
     n_samples: int | None = None
-    n_samples_distance: int = 500
+    n_samples_distance: int = 20_000
     kfold: bool = False
     metric: str = "pearsonr"
     text_weight: float = 0.5
@@ -100,7 +101,7 @@ class FidelityReport:
         rows.append(("overview", "similarity_score", sum(known[p] or 0.0 for p in parts) / len(parts)))
         return pair.real.sparkSession.createDataFrame(rows, "section string, metric string, value double")
 
-    def statistical(self, max_samples: int = 200) -> tuple[dict[str, DataFrame], list[str]]:
+    def statistical(self, max_samples: int = kernel.MAX_SAMPLES) -> tuple[dict[str, DataFrame], list[str]]:
         """Wasserstein, MMD, transport and a combined reading with advice."""
         pair = self.pair
         parts = {
@@ -127,27 +128,73 @@ class FidelityReport:
         return {f"statistical_{k}": v for k, v in self.statistical()[0].items()} | {f"privacy_{k}": v for k, v in self.privacy(membership)[0].items()}
 
     def text(self) -> tuple[DataFrame, dict[str, list[str]]]:
-        """A row a text column, and advice by column; a column's failure is in ``error``."""
-        out: DataFrame | None = None
-        advice = {}
-        for c in self.pair.text:
-            row = text.text_evaluation(self.pair, c, self.settings.vector_columns.get(c)).withColumn("column", F.lit(c))
-            r = row.first().asDict()
-            advice[c] = text_advice(r["overall"], r["jaccard"], r["diversity_ratio"], r["tfidf"], r.get("semantic"), r["spread"])
-            row = row.select("column", "lexical", "tfidf", "jaccard", "overall", "rating", "consistency")
-            out = row if out is None else out.unionByName(row)
-        if out is None:
+        """A row a text column, and advice by column; a column that fails has its error and no scores, and the others go on."""
+        if not self.pair.text:
             raise ValueError("the pair has no text column")
-        return out, advice
+        scores = ("lexical", "tfidf", "jaccard", "overall", "rating", "consistency")
+        rows, advice = [], {}
+        for c in self.pair.text:
+            try:
+                r = text.text_evaluation(self.pair, c, self.settings.vector_columns.get(c)).first().asDict()
+                advice[c] = text_advice(r["overall"], r["jaccard"], r["diversity_ratio"], r["tfidf"], r.get("semantic"), r["spread"])
+                rows.append((c, *[r[s] for s in scores], None))
+            except Exception as e:  # one column's failure must not cost the others
+                rows.append((c, *[None] * len(scores), f"{type(e).__name__}: {e}"[:500]))
+        schema = "column string, lexical double, tfidf double, jaccard double, overall double, rating string, consistency string, error string"
+        return self.pair.real.sparkSession.createDataFrame(rows, schema), advice
 
     def text_summary(self) -> DataFrame:
-        """One row ``(mean, median, min, max, columns)`` over the text columns."""
-        return text.all_text_columns(self.pair).agg(F.avg("overall").alias("mean"), F.percentile("overall", F.lit(0.5)).alias("median"), F.min("overall").alias("min"), F.max("overall").alias("max"), F.count("*").alias("columns"))
+        """One row ``(type, mean, median, min, max, columns, error)`` over the text columns that could be measured."""
+        table, _ = self.text()
+        out = table.agg(F.avg("overall").alias("mean"), F.percentile("overall", F.lit(0.5)).alias("median"), F.min("overall").alias("min"), F.max("overall").alias("max"), F.count("overall").alias("columns"), F.min("error").alias("error"))
+        return out.select(F.lit("text").alias("type"), "mean", "median", "min", "max", "columns", "error")
+
+    def wasserstein(self, include_2d: bool = False, p: int = 1) -> DataFrame:
+        """``(column, wasserstein_distance, method, quality, rating)`` of each column and, with ``include_2d``, of each pair of columns."""
+        out = dist.wasserstein_table(self.pair, p=p)
+        if include_2d and len(self.pair.numerical) > 1:
+            out = out.unionByName(dist.wasserstein_table(self.pair, method="2d"))
+        d = F.col("wasserstein_distance")
+        return out.withColumns({"quality": 1 / (1 + d), "rating": WASSERSTEIN.column(d)})
+
+    # short forms of measures of the pair
+    def copies(self) -> DataFrame:
+        return privacy.copies(self.pair)
+
+    def duplicates(self) -> tuple[DataFrame, DataFrame]:
+        return privacy.duplicates(self.pair.real), privacy.duplicates(self.pair.fake)
+
+    def row_distance(self, max_samples: int | None = None) -> DataFrame:
+        return privacy.row_distance(self.pair, max_samples=max_samples or self.settings.n_samples_distance)
+
+    def correlation_distance(self, how: str = "euclidean") -> DataFrame:
+        return assoc.correlation_distance(self.pair, how)
+
+    def column_correlations(self) -> DataFrame:
+        return assoc.column_correlations(self.pair)
+
+    def basic_statistical_evaluation(self) -> float:
+        return basic.basic_statistical_evaluation(self.pair)
+
+    def pca_correlation(self, lingress: bool = False) -> float:
+        return basic.pca_correlation(self.pair, lingress=lingress, how=self.settings.metric)
+
+    def estimator_evaluation(self, target: str, target_type: str = "class") -> float:
+        self._check(target, target_type)
+        return ml.estimator_evaluation(self.pair, target, target_type, self.settings.kfold, self.settings.metric, estimators=self.settings.estimators)
+
+    def size_notes(self) -> list[str]:
+        """What a user should know of the pair's size before measures that compare rows with rows, which take samples."""
+        n = max(self.pair.real.count(), self.pair.fake.count())
+        out = [f"{n} rows: {name} takes at most {most} of a side" for name, most in (("the RBF kernel", kernel.MAX_SAMPLES), ("the nearest-row distance", self.settings.n_samples_distance)) if n > most]
+        for line in out:
+            logging.getLogger(__name__).warning(line)
+        return out
 
     def with_text(self, target: str, target_type: str = "class") -> DataFrame:
         """One row ``(tabular, text, combined)``: w * text + (1 - w) * tabular."""
         tabular = self.evaluate(target, target_type).where("metric = 'similarity_score'").first()["value"]
-        words = text.all_text_columns(self.pair).agg(F.avg("overall")).first()[0]
+        words = self.text_summary().first()["mean"]
         w = self.settings.text_weight
         return self.pair.real.sparkSession.createDataFrame([(tabular, words, w * words + (1 - w) * tabular)], "tabular double, text double, combined double")
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import work
+
 
 def _long(tagged: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
@@ -35,3 +37,18 @@ def running_histogram(tagged: DataFrame, column: str, edges: Sequence[float]) ->
     bin_: Column = F.size(F.filter(at, lambda e: e < F.col(column).cast("double")))
     rows = tagged.where(F.col(column).isNotNull()).select(bin_.alias("bin"), "side")
     return rows.groupBy("bin").agg(F.sum("side").alias("real"), F.sum(1 - F.col("side")).alias("fake"))
+
+
+def collected(running: DataFrame) -> DataFrame:
+    """The last state of a running aggregate whose sources have an end, as a written table: all there is is read, batch by batch."""
+    spark = running.sparkSession
+    top = work.new_folder(spark, "stream")
+    last: list[str] = []
+
+    def keep(state: DataFrame, batch: int) -> None:
+        path = f"{top}/state-{batch}"
+        state.write.mode("overwrite").parquet(path)  # a batch that runs again writes its own folder again
+        last[:] = [path]
+
+    running.writeStream.outputMode("complete").option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(running.schema).parquet(last[0]) if last else spark.createDataFrame([], running.schema)
