@@ -23,7 +23,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,8 +32,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Chunks that a worker keeps with their ids; beyond it the store starts anew.
-CACHE_WORDS = 1 << 17
+#: Chunks, and words, that a generation of a worker's store holds with their ids.
+CACHE_WORDS = 1 << 18
 #: Characters of a text that are looked at in one go; a chunk longer than this is fed in fragments.
 STEP = 1 << 16
 #: Only chunks of at most so many characters are kept.
@@ -75,6 +75,7 @@ class BpeModel:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
         self.added = {t["content"]: t["id"] for t in own.get("added_tokens", [])}
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.tokens = [""] * (max([*self.vocab.values(), *self.added.values()]) + 1)
         for token, i in [*self.vocab.items(), *self.added.items()]:
             self.tokens[i] = token
@@ -107,16 +108,16 @@ class BpeModel:
         """All merges applied: always the pair of the lowest rank, the leftmost of equal ones."""
         if len(symbols) > _SHORT:
             return self._merged_long(symbols)
-        rank, none = self.rank, len(self.rank)
-        ranks = [rank.get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]  # noqa: B905
         while ranks and (least := min(ranks)) < none:
             i = ranks.index(least)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            symbols[i] += symbols.pop(i + 1)
             del ranks[i]
             if i:
-                ranks[i - 1] = rank.get((symbols[i - 1], symbols[i]), none)
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
             if i < len(ranks):
-                ranks[i] = rank.get((symbols[i], symbols[i + 1]), none)
+                ranks[i] = rank((symbols[i], symbols[i + 1]), none)
         return symbols
 
     def _merged_long(self, symbols: list[str]) -> list[str]:
@@ -141,9 +142,16 @@ class BpeModel:
                 heapq.heappush(heap, (r, h))
         return [x for x in own if x is not None]
 
-    def word_ids(self, word: str) -> list[int]:
-        own = Transducer(self)
-        return [self.vocab[t] for t in [*own.feed(word), *own.finish()] if t in self.vocab]
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a whole word as little-endian 32-bit integers."""
+        if len(word) > _KEPT_CHARS:
+            own = Transducer(self)
+            tokens = [*own.feed(word), *own.finish()]
+        else:  # shorter than a window: all of it is held anyway
+            tokens = self.symbols(word)
+            tokens[-1] += self.end
+            tokens = self.merged(tokens)
+        return b"".join([self.packed[t] for t in tokens if t in self.packed])
 
     def split(self, text: str) -> list[str]:
         """The words of a normal text."""
@@ -278,10 +286,45 @@ class Transducer:
             self.held = []
 
 
+class Kept:
+    """Strings with their ids, of bounded size: a full generation becomes the old one, from which what is met again moves on."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]]):
+        self.make = make
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def all(self, strings: list[str]) -> Iterable[bytes]:
+        """The ids of all ``strings``; those not known are made together."""
+        new = set(strings).difference(self.young)
+        if new:
+            if len(self.young) + len(new) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+                new = set(strings)
+            first = list(new.difference(self.old))
+            if len(first) < len(new):
+                self.young.update((s, self.old[s]) for s in new.difference(first))
+            self.young.update(zip(first, self.make(first), strict=True))
+        out = list(map(self.young.__getitem__, strings))
+        for s in new:
+            if len(s) > _KEPT_CHARS:
+                del self.young[s]
+        return out
+
+
 class Encoder:
     def __init__(self, model: BpeModel, step: int = STEP):
         self.model, self.step = model, step
-        self.known: dict[str, bytes] = {}
+        self.words = Kept(lambda words: map(model.word_ids, words))
+        self.chunks = Kept(self._of_chunks)
+
+    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
+        model, ends, words = self.model, [], []
+        for c in chunks:
+            words += model.split(model.normal(c))
+            ends.append(len(words))
+        ids = self.words.all(words)
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
@@ -289,7 +332,7 @@ class Encoder:
 
     def stream(self, text: str) -> Iterator[bytes]:
         """The same ids, part by part."""
-        model, known = self.model, self.known
+        model = self.model
         for special, start, end in model.segments(text):
             if special is not None:
                 yield _packed([model.added[special]])
@@ -298,16 +341,7 @@ class Encoder:
                 if isinstance(chunks, Long):
                     yield from self._long(text, chunks)
                     continue
-                new = set(chunks).difference(known)
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = set(chunks)
-                for c in new:
-                    known[c] = _packed([i for w in model.split(model.normal(c)) for i in model.word_ids(w)])
-                yield b"".join(map(known.__getitem__, chunks))
-                for c in new:
-                    if len(c) > _KEPT_CHARS:
-                        del known[c]
+                yield b"".join(self.chunks.all(chunks))
 
     def _long(self, text: str, where: Long) -> Iterator[bytes]:
         """A chunk in fragments: a word that reaches a fragment's end stays open for the next one."""
@@ -354,7 +388,7 @@ class Encoder:
                     opened = b""
             else:
                 opened = b""
-            yield _packed([i for _, w in words for i in model.word_ids(w)])
+            yield b"".join(self.words.all([w for _, w in words]))
             yield opened
         yield ids(own.finish())
 
@@ -397,6 +431,12 @@ class Decoder:
         return "".join(parts) + self.finish()
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(spec: bytes) -> Encoder:
+    """A worker's encoder, which its later tasks use again with what it has learnt."""
+    return Encoder(BpeModel(spec))
+
+
 def shared_spec(spark: SparkSession, path: str):
     """The tokenizer's file, read on the driver and broadcast: its size is fixed and doesn't grow with the data."""
     with open(path, "rb") as f:
@@ -433,7 +473,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     keep = [i for i, n in enumerate(names) if n.lower() != ids_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(BpeModel(spec.value))
+        encoder = encoder_of(spec.value)
         for batch in batches:
             at, parts, held = 0, [], 0
             for i, text in enumerate(batch.column(source)):
@@ -461,7 +501,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     keep = [i for i, n in enumerate(names) if n.lower() != text_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(BpeModel(spec.value))
+        decoder = Decoder(encoder_of(spec.value).model)
         for batch in batches:
             at, parts, held = 0, [], 0
             for i, ids in enumerate(batch.column(source)):
