@@ -11,6 +11,7 @@ and no row has to reach the driver to number them.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
@@ -20,14 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, Long, chunk_lists, shared_spec
+from .bpe import Kept, Long, chunk_lists, shared_spec
 from .shared import materialize
 
 MAX_LENGTH = 1024
 #: Bits of a sequence number for the task and for the place; above them is the bucket, log2 of the length.
 TASK_BITS, PLACE_BITS = 24, 34
 _BATCH = 1000
-_KEPT_CHARS = 64
 
 
 def cuts(size: int, most: int = MAX_LENGTH) -> list[tuple[int, int]]:
@@ -58,15 +58,12 @@ class LibraryIds:
         self.library = Tokenizer.from_str(spec.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.chunks = Kept(self._of_chunks)
 
-    def _learn(self, chunks: list[str]) -> list[str]:
-        """Make all ``chunks`` known; those too long to be kept are returned."""
+    def _of_chunks(self, chunks: list[str]) -> Iterator[bytes]:
         for at in range(0, len(chunks), _BATCH):
-            part = chunks[at : at + _BATCH]
-            for chunk, found in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-        return [c for c in chunks if len(c) > _KEPT_CHARS]
+            for found in self.library.encode_batch(chunks[at : at + _BATCH], add_special_tokens=False):
+                yield np.array(found.ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -74,18 +71,17 @@ class LibraryIds:
             if isinstance(chunks, Long):
                 ids = self.library.encode(text[chunks.start : chunks.end], add_special_tokens=False).ids
                 out.append(np.array(ids, dtype="<u4").tobytes())
-                continue
-            new = set(chunks).difference(self.known)
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = set(chunks)
-            long = self._learn(list(new)) if new else ()
-            out += map(self.known.__getitem__, chunks)
-            for c in long:
-                del self.known[c]
+            else:
+                out += self.chunks.all(chunks)
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=2)
+def library_of(spec: bytes) -> LibraryIds:
+    """A worker's tokenizer, which its later tasks use again with the ids it has kept."""
+    return LibraryIds(spec)
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LENGTH) -> DataFrame:
     """``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``: a row a piece.
 
@@ -100,7 +96,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     spec = shared_spec(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = LibraryIds(spec.value)
+        known = library_of(spec.value)
         task = TaskContext.get().partitionId()
         if task >> TASK_BITS:
             raise ValueError(f"more than {1 << TASK_BITS} tasks")
