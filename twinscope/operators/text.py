@@ -153,6 +153,16 @@ def embedding_similarity(pair: TablePair, column: str, max_samples: int | None =
     return out.join(F.broadcast(n))
 
 
+def tfidf_evaluation(pair: TablePair, column: str, **how) -> DataFrame:
+    """The row of ``tfidf_similarity`` with its rating."""
+    return tfidf_similarity(pair, column, **how).withColumn("rating", TFIDF.column(F.col("cosine")))
+
+
+def semantic_evaluation(pair: TablePair, column: str, max_samples: int | None = None) -> DataFrame:
+    """The row of ``embedding_similarity`` with its rating."""
+    return embedding_similarity(pair, column, max_samples).withColumn("rating", SEMANTIC.column(F.col("cosine")))
+
+
 def encoded(pair: TablePair, column: str, encoder, name: str = "embedding") -> TablePair:
     """The pair with a vector column that ``encoder``, a function of a column, makes from ``column``."""
     from dataclasses import replace

@@ -15,7 +15,7 @@ from ..functions import ratings, scalar
 from ..functions.text import SQL_TOKENS, STOP_WORDS
 from .. import work
 from ..operators import assoc, basic, dist, encode, kernel, ml, privacy, text, viz
-from ..pair import TablePair
+from ..pair import TablePair, from_dict
 from ..plans.report import FidelityReport, Settings, available_metrics
 from ..sources import files
 from ..streaming import incremental
@@ -817,7 +817,7 @@ def label_heights(spark, sf_dir):
 
 
 def _mean_std_sql(name: str, table: str) -> str:
-    return f"SELECT '{name}' AS dataset, c AS \"column\", round(ln(abs(avg(x) FILTER (s = 1)) + 1e-5), 6) AS log_mean_real, round(ln(abs(avg(x) FILTER (s = 0)) + 1e-5), 6) AS log_mean_fake, round(ln(stddev_samp(x) FILTER (s = 1) + 1e-5), 6) AS log_std_real, round(ln(stddev_samp(x) FILTER (s = 0) + 1e-5), 6) AS log_std_fake FROM {table} GROUP BY c"
+    return f"SELECT '{name}' AS pair, c AS \"column\", round(ln(abs(avg(x) FILTER (s = 1)) + 1e-5), 6) AS log_mean_real, round(ln(abs(avg(x) FILTER (s = 0)) + 1e-5), 6) AS log_mean_fake, round(ln(stddev_samp(x) FILTER (s = 1) + 1e-5), 6) AS log_std_real, round(ln(stddev_samp(x) FILTER (s = 0) + 1e-5), 6) AS log_std_fake FROM {table} GROUP BY c"
 
 
 @_query(f"WITH {_long_sql()}, {SHIFTED_SQL.replace('l AS (', 'h AS (', 1)} " + _mean_std_sql("split", "l") + " UNION ALL " + _mean_std_sql("shifted", "h"))
@@ -826,12 +826,12 @@ def mean_std_comparison(spark, sf_dir):
     return out.select(*[_r(c) if c.startswith("log_") else c for c in out.columns])
 
 
-@_query(_theil_sides_sql() + ", s AS (SELECT * FROM p UNION ALL SELECT col_a, col_b, f, r FROM p) SELECT 'orders' AS dataset, col_a, col_b, round(r, 6) AS real, round(f, 6) AS fake, round(abs(r - f), 6) AS difference FROM p UNION ALL SELECT 'turned', col_a, col_b, round(f, 6), round(r, 6), round(abs(r - f), 6) FROM p")
+@_query(_theil_sides_sql() + ", s AS (SELECT * FROM p UNION ALL SELECT col_a, col_b, f, r FROM p) SELECT 'orders' AS pair, col_a, col_b, round(r, 6) AS real, round(f, 6) AS fake, round(abs(r - f), 6) AS difference FROM p UNION ALL SELECT 'turned', col_a, col_b, round(f, 6), round(r, 6), round(abs(r - f), 6) FROM p")
 def correlation_comparison(spark, sf_dir):
     own = _status(spark, sf_dir)
     turned = TablePair.of(own.fake, own.real)
     out = viz.several({"orders": own, "turned": turned}, viz.correlation_difference)
-    return out.select("dataset", "col_a", "col_b", _r("real"), _r("fake"), _r("difference"))
+    return out.select("pair", "col_a", "col_b", _r("real"), _r("fake"), _r("difference"))
 
 
 @_query(f"""WITH {_long_sql(["l_quantity"])}, m AS (SELECT s, CAST(count(*) AS DOUBLE) AS n, stddev_samp(x) AS sd FROM l GROUP BY s), r AS (SELECT min(x) AS lo, max(x) - min(x) AS w FROM l),
@@ -931,6 +931,93 @@ def write_report(spark, sf_dir):
     return spark.read.parquet(f"{folder}/js").groupBy(F.col("column").alias("name")).agg(F.count("*").alias("n"))
 
 
+# --- scales, advice, scores of given predictions ---------------------------------------------------
+
+_LADDER = lambda x, up, bounds: "CASE " + " ".join(f"WHEN {x} {'>=' if up else '<'} {b} THEN '{v}'" for b, v in zip(bounds, ("Excellent", "Good", "Fair", "Poor"))) + " ELSE 'Very Poor' END"  # noqa: B905, E731
+_THREE = lambda x, test, bounds, names: f"CASE WHEN {x} {test} {bounds[0]} THEN '{names[0]}' WHEN {x} {test} {bounds[1]} THEN '{names[1]}' ELSE '{names[2]}' END"
+_HML = ("High", "Medium", "Low")
+
+
+@_query(f"""WITH g AS (SELECT i / 1000.0::DOUBLE AS x FROM range(0, 1301) t(i)) SELECT x, {_LADDER("x", False, (0.1, 0.25, 0.5, 1.0))} AS wasserstein, {_LADDER("x", False, (0.01, 0.05, 0.1, 0.2))} AS mmd,
+{_LADDER("x", True, (0.9, 0.8, 0.7, 0.6))} AS classification, {_LADDER("x", True, (0.9, 0.7, 0.5, 0.3))} AS regression, {_LADDER("x", True, (0.8, 0.7, 0.6, 0.5))} AS ml_overall, {_LADDER("x", True, (0.9, 0.8, 0.6, 0.4))} AS lexical,
+{_LADDER("x", True, (0.95, 0.85, 0.7, 0.5))} AS semantic, {_LADDER("x", True, (0.85, 0.75, 0.6, 0.4))} AS text_overall, {_THREE("x", ">", (0.75, 0.6), _HML)} AS attack, {_THREE("x", ">", (0.5, 0.2), _HML)} AS significance,
+{_THREE("x", ">", (0.1, 0.05), _HML)} AS discrimination, {_THREE("x", "<", (0.1, 0.2), _HML)} AS consistency,
+CASE WHEN floor(x * 10) >= 5 THEN 'Good' WHEN floor(x * 10) >= 3 THEN 'Moderate' WHEN floor(x * 10) >= 2 THEN 'Weak' ELSE 'Poor' END AS k_anonymity FROM g""")
+def rating_scales(spark, sf_dir):
+    """Every scale over a grid of values."""
+    x = F.col("x")
+    scales = {
+        "wasserstein": ratings.WASSERSTEIN, "mmd": ratings.MMD, "classification": ratings.ML_CLASSIFICATION, "regression": ratings.ML_REGRESSION, "ml_overall": ratings.ML_OVERALL, "lexical": ratings.LEXICAL, "semantic": ratings.SEMANTIC,
+        "text_overall": ratings.TEXT_OVERALL, "attack": ratings.ATTACK_RISK, "significance": ratings.SIGNIFICANCE, "discrimination": ratings.DISCRIMINATION, "consistency": ratings.CONSISTENCY,
+    }
+    grid = spark.range(1301).select((F.col("id") / F.lit(1000.0)).alias("x"))
+    return grid.select("x", *[scale.column(x).alias(name) for name, scale in scales.items()], ratings.K_ANONYMITY.column(F.floor(x * 10)).alias("k_anonymity"))
+
+
+@_query("""WITH g AS (SELECT CAST(i AS BIGINT) AS i, i / 20.0::DOUBLE AS x FROM range(0, 21) t(i)) SELECT i,
+CASE WHEN x > 0.75 THEN 'An attacker tells members apart: add noise or regenerate with privacy guarantees.' WHEN x > 0.6 THEN 'An attacker has some advantage: consider stronger privacy settings.' ELSE 'An attacker does hardly better than chance.' END AS attack,
+CASE WHEN x < 0.3 THEN 'Low similarity: review how the table was generated.' WHEN x < 0.7 THEN 'Moderate similarity: look at the worst columns.' ELSE 'Good similarity.' END AS statistical,
+CASE WHEN x < 0.4 THEN 'Low text similarity: review the text generator.' WHEN x < 0.7 THEN 'Moderate text similarity.' ELSE 'Good text similarity.' END || CASE WHEN x < 0.3 THEN '|The vocabularies hardly overlap.' ELSE '' END
+|| CASE WHEN x < 0.5 THEN '|Terms are weighted differently.' ELSE '' END || CASE WHEN x > 0.2 THEN '|The measures disagree with each other.' ELSE '' END AS texts,
+CASE WHEN i = 0 THEN 'Small classes of quasi-identifiers: generalise or suppress them.' WHEN i < 5 THEN 'Rows of the original occur in the copy: remove them.|Small classes of quasi-identifiers: generalise or suppress them.' ELSE 'Rows of the original occur in the copy: remove them.' END AS privacy FROM g""")
+def advice_texts(spark, sf_dir):
+    """What each kind of advice says over a grid of values."""
+    rows = [(i, ratings.attack_advice(i / 20), ratings.statistical_advice(i / 20), "|".join(ratings.text_advice(i / 20, jaccard=i / 20, tfidf=i / 20, spread=i / 20)), "|".join(ratings.privacy_advice(i / 20, i, 0.5, "Low"))) for i in range(21)]
+    return spark.createDataFrame(rows, "i long, attack string, statistical string, texts string, privacy string")
+
+
+_GUESS_SQL = "(SELECT o_orderkey % 3 AS y, o_orderkey % 5 % 3 AS a, o_custkey % 3 AS b FROM orders)"
+
+
+def _guesses(spark, sf_dir) -> DataFrame:
+    d = lambda c: c.cast("double")
+    k = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(d(k % 3).alias("label"), d(k % 5 % 3).alias("by_real"), d(F.col("o_custkey") % 3).alias("by_fake"))
+
+
+@_query(f"SELECT round(avg(CAST(a = y AS INTEGER)), 6) AS real, round(avg(CAST(b = y AS INTEGER)), 6) AS fake, round(CAST(sum(CAST(a = b AS INTEGER)) AS DOUBLE) / (2 * count(*) - sum(CAST(a = b AS INTEGER))), 6) AS jaccard FROM {_GUESS_SQL}")
+def classification_scores(spark, sf_dir):
+    """The score row of two classifiers, from given predictions."""
+    scored = _guesses(spark, sf_dir)
+    return scored.agg(*ml._compare(scored, "class")).select(_r("real"), _r("fake"), _r("jaccard"))
+
+
+@_query(f"SELECT round(sqrt(avg((a - y) * (a - y))), 6) AS real, round(sqrt(avg((b - y) * (b - y))), 6) AS fake FROM {_GUESS_SQL}")
+def regression_scores(spark, sf_dir):
+    scored = _guesses(spark, sf_dir)
+    return scored.agg(*ml._compare(scored, "regr")).select(_r("real"), _r("fake"))
+
+
+@_query(f"""WITH g AS {_GUESS_SQL}, c AS (SELECT y, count(*) AS n, count(*) FILTER (a = y) AS hit, (SELECT count(*) FROM g h WHERE h.a = g.y) AS said FROM g GROUP BY y),
+m AS (SELECT sum(hit) / CAST(sum(n) AS DOUBLE) AS accuracy, sum(n * hit / CAST(said AS DOUBLE)) / sum(n) AS precision, sum(n * (hit / CAST(n AS DOUBLE))) / sum(n) AS recall, sum(n * 2 * hit / CAST(n + said AS DOUBLE)) / sum(n) AS f1 FROM c),
+r AS (SELECT avg((a - y) * (a - y)) AS mse, avg(abs(a - y)) AS mae, 1 - sum((a - y) * (a - y)) / (var_pop(y) * count(*)) AS r2 FROM g)
+SELECT metric, round(value, 6) AS value FROM (SELECT 'accuracy' AS metric, accuracy AS value FROM m UNION ALL SELECT 'precision', precision FROM m UNION ALL SELECT 'recall', recall FROM m UNION ALL SELECT 'f1', f1 FROM m
+UNION ALL SELECT 'mse', mse FROM r UNION ALL SELECT 'mae', mae FROM r UNION ALL SELECT 'r2', r2 FROM r)""")
+def model_metrics(spark, sf_dir):
+    """The utility metrics, from given predictions."""
+    scored = _guesses(spark, sf_dir).withColumnRenamed("by_real", "prediction")
+    found = ml._quality(scored, "classification") | ml._quality(scored, "regression")
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in found.items()], "metric string, value double")
+
+
+@_query(_MEANS_SQL + "SELECT metric, round(value, 6) AS value FROM (SELECT 'pearsonr' AS metric, corr(a, b) AS value FROM m UNION ALL SELECT 'linregress', regr_slope(b, a) FROM m UNION ALL SELECT 'pointbiserialr', corr(a, b) FROM m)")
+def comparison_metric(spark, sf_dir):
+    rows = _means(spark, sf_dir).select("mean_r", "mean_f").collect()  # a row a column
+    a, b = [r[0] for r in rows], [r[1] for r in rows]
+    return spark.createDataFrame([(m, round(basic.metric(m)(a, b), 6)) for m in ("pearsonr", "linregress", "pointbiserialr")], "metric string, value double")
+
+
+@_query(_MEANS_SQL + "SELECT c AS key, round(a, 4) AS value FROM m")
+def dict_to_table(spark, sf_dir):
+    found = {r["column"]: r["mean_r"] for r in _means(spark, sf_dir).collect()}  # a row a column
+    return from_dict(spark, found).select("key", _r("value", 4))
+
+
+@_query(f"WITH {_WORDS_SQL}, {_TFIDF_SQL} SELECT round(cosine, 6) AS cosine, {ratings.TFIDF.sql('cosine')} AS rating FROM z")
+def tfidf_evaluation(spark, sf_dir):
+    return text.tfidf_evaluation(texts(spark, sf_dir), "text").select(_r("cosine"), "rating")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KS, Wasserstein and Jensen-Shannon of all numerical columns of one pair."""
     pair = lines(spark, sf_dir)
