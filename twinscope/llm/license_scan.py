@@ -30,7 +30,15 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Mandatory, optional and replaceable wording of public license texts and notices.
+# Fixed value: the two conditions that several licenses open with.
+_LIST = (
+    "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<optional>>1.<</optional>> redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "<<optional>>2.<</optional>> redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution. "
+)
+
+# Mandatory, optional and replaceable wording of public license texts and of the notices that they ask for.
 TEMPLATES = {
     "mit": [
         "<<optional>>the mit license<<optional>> mit<</optional>><</optional>> <<optional>>copyright <<var 0 12>><</optional>> permission is hereby granted, free of charge, to any person obtaining a copy of "
@@ -41,31 +49,102 @@ TEMPLATES = {
         "shall be included in all copies or substantial portions of the software.",
         "<<optional>>released<</optional>><<optional>>licensed<</optional>><<optional>>distributed<</optional>> under the <<optional>>terms of the<</optional>> mit license",
     ],
+    "mit-0": [
+        "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), "
+        "to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the software, and to permit persons to whom the software is furnished to do so. the software is provided \"as is\"",
+    ],
     "apache-2": [
         "licensed under the apache license, version 2.0 (the \"license\"); you may not use <<var 1 4>> except in compliance with "
         "the license. you may obtain a copy of the license at <<optional>>http<</optional>><<optional>>https<</optional>> www.apache.org/licenses/license-2.0",
         "licensed under the apache license, version 2<<optional>>.0<</optional>>",
+        "apache license version 2.0, january 2004 <<optional>>http<</optional>><<optional>>https<</optional>> www.apache.org/licenses/ terms and conditions for use, reproduction, and distribution",
     ],
     "bsd-2-clause": [
-        "redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: <<optional>>1.<</optional>> redistributions of source code must retain the above copyright notice, this list "
-        "of conditions and the following disclaimer. <<optional>>2.<</optional>> redistributions in binary form must reproduce the above copyright "
-        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
-        "with the distribution. this software is provided by <<var 1 12>> as is",
+        _LIST + "this software is provided by <<var 1 12>> as is",
     ],
     "bsd-3-clause": [
         "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
         "disclaimer in the documentation and/or other materials provided with the distribution. <<optional>>3.<</optional>> neither the name of "
         "<<var 1 14>> nor the names of <<optional>>its<</optional>><<optional>>the<</optional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     ],
+    "bsd-4-clause": [
+        "all advertising materials mentioning features or use of this software must display the following acknowledgement: this product includes software developed by <<var 1 16>> neither the name of",
+    ],
+    "0bsd": [
+        "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. the software is provided \"as is\"",
+    ],
     "isc": [
-        "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "permission to use, copy, modify, and<<optional>>/or<</optional>> distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies",
     ],
+    "zlib": [
+        "this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software. "
+        "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions: <<optional>>1.<</optional>> the origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "if you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+    ],
+    "bsl-1": [
+        "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"software\") "
+        "to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software",
+        "distributed under the boost software license, version 1.0",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "wtfpl": [
+        "do what the fuck you want to public license",
+    ],
+    "cc0-1": [
+        "<<optional>>to the extent possible under law<<var 0 16>><</optional>> has waived all copyright and related or neighboring rights to",
+        "cc0 1.0 universal",
+        "licensed under <<optional>>the<</optional>> cc0",
+    ],
+    "gpl-2": [
+        "it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or <<optional>>(at your option)<</optional>> any later version",
+        "under the terms of the gnu general public license version 2 <<optional>>only<</optional>> as published by the free software foundation",
+        "gnu general public license version 2, june 1991",
+        "licensed under the gnu general public license, version 2<<optional>> or later<</optional>>",
+    ],
     "gpl-3": [
         "<<optional>>this work is<</optional>> licensed under the gnu general public license, version 3<<optional>> or later<</optional>>",
         "under the terms of the gnu general public license as published by the free software foundation, either version 3 of the "
         "license, or <<optional>>(at your option)<</optional>> any later version",
+        "gnu general public license version 3, 29 june 2007",
+    ],
+    "lgpl-2.1": [
+        "under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or <<optional>>(at your option)<</optional>> any later version",
+        "gnu lesser general public license version 2.1, february 1999",
+    ],
+    "lgpl-3": [
+        "under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or <<optional>>(at your option)<</optional>> any later version",
+        "gnu lesser general public license version 3, 29 june 2007",
+    ],
+    "agpl-3": [
+        "under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or <<optional>>(at your option)<</optional>> any later version",
+        "gnu affero general public license version 3, 19 november 2007",
+    ],
+    "mpl-2": [
+        "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, "
+        "you can obtain one at <<optional>>http<</optional>><<optional>>https<</optional>> <<optional>>www<</optional>> mozilla.org/mpl/2.0",
+        "mozilla public license version 2.0",
+    ],
+    "epl-2": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license <<optional>>v<</optional>><<optional>>v.<</optional>> 2.0",
+        "eclipse public license <<optional>>-<</optional>> v 2.0 the accompanying program is provided under the terms of this eclipse public license",
+    ],
+    "cc-by": [
+        "licensed under <<optional>>a<</optional>><<optional>>the<</optional>> creative commons attribution <<optional>>4.0<</optional>><<optional>>3.0<</optional>> <<optional>>international<</optional>><<optional>>unported<</optional>> license",
+        "licensed under <<optional>>a<</optional>><<optional>>the<</optional>> cc by <<optional>>4.0<</optional>><<optional>>3.0<</optional>> license",
+    ],
+    "cc-by-sa": [
+        "licensed under <<optional>>a<</optional>><<optional>>the<</optional>> creative commons attribution-sharealike <<optional>>4.0<</optional>><<optional>>3.0<</optional>> <<optional>>international<</optional>><<optional>>unported<</optional>> license",
+        "licensed under <<optional>>a<</optional>><<optional>>the<</optional>> cc by-sa",
+    ],
+    "cc-by-nd": [
+        "licensed under <<optional>>a<</optional>><<optional>>the<</optional>> creative commons attribution-noderivatives <<var 0 2>> <<optional>>international<</optional>> license",
+        "licensed under <<optional>>a<</optional>><<optional>>the<</optional>> cc by-nd",
     ],
     "cc-by-nc": [
         "licensed under <<optional>>a<</optional>><<optional>>the<</optional>> cc by-nc<<optional>> 4.0<</optional>>",
