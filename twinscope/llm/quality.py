@@ -52,22 +52,23 @@ def triples(word_list: Column) -> Column:
 def repeated_words(zipped: Column) -> Column:
     """How many words lie in windows of three that occur at least twice, from the ``triples`` of a text.
 
-    Windows are compared by 64-bit hash. A text without equal hashes is done
-    after one pass; else the windows are sorted by hash, and the places that they
-    cover are added up in order, so that a text costs n log n.
+    A text whose windows have no equal hashes is done after one pass; else the
+    windows are sorted by hash and words, neighbours are compared word by word, and
+    the places that they cover are added up in order, so that a text costs n log n.
     """
-    windows = F.transform(F.slice(zipped, 1, F.greatest(F.size(zipped) - 2, F.lit(0))), lambda z: F.xxhash64(z))
+    windows = F.slice(zipped, 1, F.greatest(F.size(zipped) - 2, F.lit(0)))
+    hashed = F.transform(windows, lambda z: F.xxhash64(z))
     # beyond either end there is no neighbour, which makes the comparison null
-    side = lambda ordered, x, k: F.coalesce(F.get(ordered, k)["h"] == x["h"], F.lit(False))
+    side = lambda ordered, x, k: F.coalesce((F.get(ordered, k)["h"] == x["h"]) & (F.get(ordered, k)["z"] == x["z"]), F.lit(False))
     twice = lambda ordered: F.filter(ordered, lambda x, k: side(ordered, x, k - 1) | side(ordered, x, k + 1))
     covered = lambda at: F.aggregate(F.transform(at, lambda x, k: F.least(F.coalesce(F.get(at, k + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)
 
     def count(hashes: Column) -> Column:
-        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        placed = F.transform(windows, lambda z, i: F.struct(F.xxhash64(z).alias("h"), z.alias("z"), i.alias("i")))
         starts = F.sort_array(F.transform(_let(F.sort_array(placed), twice), lambda x: x["i"]))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(starts, covered))
 
-    return _let(windows, count).cast("long")
+    return _let(hashed, count).cast("long")
 
 
 def base_columns(text: Column, word_list: Column, zipped: Column) -> dict[str, Column]:
@@ -146,7 +147,13 @@ def _assessed(rows: DataFrame, docs: DataFrame, labels: DataFrame | None, id_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns as they are (whatever their names), that pass the base rules and the score."""
+    """The rows of ``docs``, all columns as they are (whatever their names), that pass the base rules and the score.
+
+    A null or empty text has no words and goes, like every text of fewer than
+    ``MIN_WORDS`` words. Rows that repeat stay or go alike; a null id is only not
+    trusted. Without trusted rows the base rules alone decide. An empty table gives
+    an empty result.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"))
     # a filter isn't pushed below a projection with the task's number, which would compute the word lists once more for it
     assessed = _assessed(rows, docs, labels, id_col, text_col, min_score).withColumn("__task", F.spark_partition_id())
