@@ -32,7 +32,8 @@ def brute_chat(rows):
         turns.sort()
         loss = "".join(t for _, role, t in turns if role == "assistant")
         whole = "".join(f"{role}\n{t}\n" for _, role, t in turns)
-        out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+        formatted = sum(len(t) for _, role, x in turns for t, _ in chat.INSTRUCT.segments(role, x))
+        out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), formatted))
     return sorted(out, key=str)
 
 
@@ -40,7 +41,7 @@ def test_chat_query(spark, sf):
     probe = [{"conv_id": -7, "turn": i, "role": r, "text": "</s>[INST] ok [/INST]"} for i, r in enumerate(("user", "assistant"))]
     rows = [r.asDict() for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()] + probe
     found = queries.op9_chat(spark, sf).collect()
-    assert sorted((tuple(r)[:5] for r in found), key=str) == brute_chat(rows)
+    assert sorted((tuple(r)[:6] for r in found), key=str) == brute_chat(rows)
     assert all(r.formatted_chars > r.loss_chars for r in found)
 
 
@@ -49,7 +50,7 @@ def test_chat_odd_rows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int")
     found = chat.read_back(chat.format_turns(df)).collect()
     want = [dict(zip(("conv_id", "turn", "role", "text"), r, strict=False)) for r in rows]
-    assert sorted((tuple(r)[:5] for r in found), key=str) == brute_chat(want)
+    assert sorted((tuple(r)[:6] for r in found), key=str) == brute_chat(want)
     assert {r.conv_id: r.in_order for r in found} == {1: True, 2: False, None: True, 3: False, 4: False, 5: True}
     assert {r.conv_id for r in found if r.complete} == {1, 5}
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
@@ -116,6 +117,25 @@ def test_warc_streams_split_anywhere():
         list(warc.records(iter([whole[:-3]])))
 
 
+def test_a_file_cut_where_a_record_ends_is_an_error(spark, pages, tmp_path):
+    whole = warc.write_archives(warc.mark_revisits(pages), f"{tmp_path}/stream")
+    cut = whole.selectExpr("path", "records + 1 as records")
+    with pytest.raises(Exception, match="records of the"):
+        warc.normalise(cut, f"{tmp_path}/stream", f"{tmp_path}/members")
+    files, folder = warc.archive_pages(pages)
+    with pytest.raises(Exception, match="lists"):
+        warc.read_archives(files.selectExpr("path", "records + 1 as records", "bytes"), folder).collect()
+
+
+def test_warc_null_and_repeated_ids(spark):
+    big = "y" * 1500
+    rows = [(None, "u", big), (4, "u", big), (4, "u", big), (None, "u", "z" * 1200), (6, "u", "w" * 1100), (6, "v", "v" * 1100)]
+    files, folder = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(files, folder).collect()), key=str)
+    want = [(None, "revisit", 4, 1500), (4, "response", None, 1500), (4, "response", None, 1500), (None, "response", None, 1200), (6, "response", None, 1100), (6, "response", None, 1100)]
+    assert found == sorted(want, key=str)
+
+
 def test_warc_empty(pages):
     files, folder = warc.archive_pages(pages.limit(0))
     assert warc.read_archives(files, folder).count() == 0

@@ -127,7 +127,9 @@ def read_back(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """A row a conversation, from the segments of ``format_turns`` alone, which must be in its order.
 
     ``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
-    in_order, complete)``: digests are taken as the turns stream by.
+    in_order, complete)``: digests are taken as the turns stream by. Empty texts
+    and roles count as turns; repeated turns count each; a null conv_id is a
+    conversation of its own; no turns give an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,7 +155,7 @@ def normalise(files: DataFrame, source: str, target: str) -> DataFrame:
         aim_store.create_dir(aim, recursive=True)
         for batch in batches:
             done = []
-            for name in batch.column(0).to_pylist():
+            for name, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = uuid.uuid4().hex
                 at = n = 0
                 with store.open_input_stream(f"{top}/{name}", compression=None) as raw, aim_store.open_output_stream(f"{aim}/{own}.part", compression=None) as out, aim_store.open_output_stream(f"{aim}/{own}.idx", compression=None) as index:
@@ -166,6 +166,8 @@ def normalise(files: DataFrame, source: str, target: str) -> DataFrame:
                         entry = {"offset": at, "length": len(member), "id": fields["WARC-Record-ID"], "type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"], "uri": fields["WARC-Target-URI"]}
                         index.write(json.dumps(entry).encode() + b"\n")
                         at, n = at + len(member), n + 1
+                if n != expected:
+                    raise ValueError(f"{name} holds {n} records of the {expected} that were written")
                 final = f"{name.removesuffix('.warc.gz')}-{own}"
                 aim_store.move(f"{aim}/{own}.part", f"{aim}/{final}.warc.gz")
                 aim_store.move(f"{aim}/{own}.idx", f"{aim}/{final}.warc.gz.idx")
@@ -187,7 +189,9 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = False) ->
     """A row a record, each read through the index: ``(page_id, record_type, refers_to, payload_bytes, payload_digest, uri[, payload])``.
 
     Payloads of responses are measured again and must have the length and digest
-    that their header states.
+    that their header states, and each file must hold as many records as were
+    written: a file that was cut is an error even where a record ends. No file
+    gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +200,8 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = False) ->
         names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "uri", *["payload"] * with_payload]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * with_payload]
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows, held = [], 0
+            for name, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, held, n = [], 0, 0
                 with store.open_input_file(f"{top}/{name}") as data, store.open_input_stream(f"{top}/{name}.idx", compression=None) as raw:
                     for line in _lines(raw):
                         entry = json.loads(line)
@@ -210,9 +214,12 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = False) ->
                         to = page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None
                         rows.append((page(fields["WARC-Record-ID"]), fields["WARC-Type"], to, size, digest, fields["WARC-Target-URI"], *[payload] * with_payload))
                         held += 100 + len(payload) * with_payload
+                        n += 1
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                             rows, held = [], 0
+                if n != expected:
+                    raise ValueError(f"the index of {name} lists {n} of {expected} records")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
