@@ -108,6 +108,7 @@ def brute_components(prints):
 
 def test_simhash_query_is_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert all(int.from_bytes(simhash.fingerprint((t or "").encode()), "little") == brute_fingerprint(t) for _, t in rows)
     prints = [(i, brute_fingerprint(t)) for i, t in rows]
     found = brute_components(prints)
     assert sorted(map(tuple, queries.op3_simhash(spark, sf).collect())) == sorted((i, f"{f:016x}", found[i]) for i, f in prints)
@@ -133,57 +134,103 @@ def test_near_dedup_keeps_null_and_repeated_ids_right(spark):
         (7, FAR[1].upper(), 3),  # a copy of 3's text under an id that stays for another text: goes
         (7, FAR[2], 4),
         (None, FAR[2] + " ", 5),  # a group with an id: goes
+        (11, "nothing else in this table reads like the row that stands here twice", 9),
+        (11, "nothing else in this table reads like the row that stands here twice", 9),  # a row that repeats: one stays
         (9, "", 6),
         (9, None, 7),  # one group and one id: one row of it stays
         (9, " \n", 8),
     ]
     docs = spark.createDataFrame(rows, ROWS)
     out = [tuple(r) for r in simhash.near_dedup(docs).collect()]
-    assert sorted(out[i][2] for i in range(len(out)) if out[i][0] != 9) == [1, 2, 4]
-    assert sum(r[0] == 9 for r in out) == 1 and len(out) == 4
+    assert sorted(out[i][2] for i in range(len(out)) if out[i][0] != 9) == [1, 2, 4, 9]
+    assert sum(r[0] == 9 for r in out) == 1 and len(out) == 5
     assert simhash.near_dedup(docs).columns == docs.columns
 
 
-def test_links_beyond_the_routing_blocks_are_refused(spark):
+def test_links_beyond_the_routing_blocks_are_refused(odd_docs):
     with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([(1, 1)], "id long, fp long"), most=simhash.BLOCKS)
+        simhash.near_groups(odd_docs, most=simhash.BLOCKS)
 
 
-def clusters(seed, n):
+def clusters(seed, n, words=1):
     rnd = random.Random(seed)
     out = set()
     while len(out) < n:
-        base = rnd.getrandbits(64)
+        base = rnd.getrandbits(64 * words)
         for _ in range(rnd.choice((1, 1, 5, 200))):
             f = base
-            for _ in range(rnd.randint(0, 5)):
-                f ^= 1 << rnd.randrange(64)
+            for _ in range(rnd.randint(0, 5 * words)):
+                f ^= 1 << rnd.randrange(64 * words)
             out.add(f)
-    return np.array(sorted(out), dtype=np.uint64)
+    return np.frombuffer(b"".join(f.to_bytes(8 * words, "little") for f in sorted(out)), "<u8").reshape(-1, words)
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 600))
-def test_gray_index_finds_all_pairs(seed, n):
-    fps = clusters(seed, n)
-    fps = fps[np.argsort(simhash.gray_rank(fps))]
-    want = set(zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3), strict=True))
-    assert set(zip(*simhash.GrayIndex(fps).near(fps), strict=True)) == want
+def apart(fps):
+    return np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(axis=2)
 
 
-def test_tiles_and_label_propagation_join_all_that_links(spark, monkeypatch):
+def brute_labels(link):
+    label = np.arange(len(link))
+    while True:
+        new = np.where(link, label[None, :], len(link)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 600), st.sampled_from([(1, 3), (1, 12), (2, 10), (4, 40)]))
+def test_gray_index_and_forest_are_brute_force(seed, n, shape):
+    words, most = shape
+    fps = clusters(seed, n, words)
+    fps = fps[simhash.gray_order(fps)]
+    link = apart(fps) <= most
+    assert set(zip(*simhash.GrayIndex(fps).near(fps, most), strict=True)) == set(zip(*np.nonzero(link), strict=True))
+    assert (simhash.forest(fps, most) == brute_labels(link)).all()
+
+
+def test_gray_order_is_the_reflected_sequence():
+    rank = lambda x: x ^ rank(x >> 1) if x else 0
+    rnd = random.Random(2)
+    own = [rnd.getrandbits(128) for _ in range(50)]
+    fps = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in own), "<u8").reshape(-1, 2)
+    assert [own[i] for i in simhash.gray_order(fps)] == sorted(own, key=rank)
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 40])  # with 40 most block values are cut into shards
+def test_tiles_and_label_propagation_join_all_that_links(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "MAX_TILE", tile)
     fps = clusters(5, 3000)
-    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "id long").selectExpr("id", "id as fp")
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)[:, 0]], "fp long")
     found = {r.v: r.label for r in simhash.components(simhash.links(nodes)).collect()}
-    order = np.argsort(simhash.gray_rank(fps))
+    order = simhash.gray_order(fps)
     first = simhash.forest(fps[order])
     want = defaultdict(set)
-    for i, f in zip(first, fps[order].view(np.int64), strict=True):
+    for i, f in zip(first, fps[order].view(np.int64)[:, 0], strict=True):
         want[i].add(int(f))
     for group in want.values():
         assert {found.get(f, f) for f in group} == {min(group)}
 
 
+def test_near_dedup_finds_near_copies(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, copies = [], 0
+    for i in range(60):
+        words = [rnd.choice(vocabulary) for _ in range(400)]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(i % 3):
+            other = list(words)
+            for at in rnd.sample(range(400), 6):  # about 30 of 400 shingles: a similarity near 0.86
+                other[at] = "new"
+            rows.append((len(rows), " ".join(other)))
+            copies += 1
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(kept) <= 60 + 0.1 * copies
+    firsts = {min(i for i, t in rows if t.split()[:5] == x.split()[:5]) for _, x in rows}
+    assert len(kept & firsts) >= 55
+
+
 def brute_lines(rows):
     seen, gone = set(), defaultdict(set)
     for i, t in sorted({(i, t or "") for i, t in rows}):
