@@ -27,16 +27,16 @@ def test_each_stage_is_brute_force_on_its_input(spark, sf, stages):
     for r in good.values():
         last[r.text] = max(last.get(r.text, -1), r.doc_id)
     assert set(exact) == {k for k, r in good.items() if last[r.text] == r.doc_id}
-    prints = sorted((r.doc_id, simhash.fingerprint(r.text.encode())) for r in exact.values())
-    gone = set()
-    group = {i: i for i, _ in prints}
-    for _ in prints:  # the least label spreads until it rests
-        before = dict(group)
-        for i, f in prints:
-            group[i] = min(group[j] for j, g in prints if (f ^ g).bit_count() <= 3)
-        if group == before:
-            break
-    gone = {i for i, g in group.items() if i != g}
+    # texts link if their fingerprints share a block of 16 bits and differ in few enough bits
+    rows = sorted(exact.values(), key=lambda r: r.doc_id)
+    fps = np.frombuffer(b"".join(simhash.fingerprint(r.text.encode(), 5, 512) for r in rows), "<u8").reshape(-1, 8)
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    blocks = fps.view(np.uint16)
+    link = (far <= 82) & (blocks[:, None] == blocks[None]).any(axis=2)
+    label = np.arange(len(rows))
+    for _ in rows:  # the least label spreads until it rests
+        label = np.where(link, label[None, :], len(rows)).min(axis=1)
+    gone = {r.doc_id for i, r in enumerate(rows) if label[i] != i}
     assert set(near) == {k for k, r in exact.items() if r.doc_id not in gone}
     library = Tokenizer.from_file(bpe.default_path("byte_bpe_50k.json"))
     for r in near.values():
@@ -49,6 +49,21 @@ def test_run_is_the_stages(spark, sf, stages):
     assert key(corpus_pipeline.run(spark, sf)) == key(stages[-1])
 
 
+def test_the_bound_is_that_of_a_similarity_of_eight_tenths():
+    assert simhash.wide_bound(0.8) == 82
+
+
+def test_stages_take_null_ids_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text, "en", 1, 2, 3, "a"), (None, text + " x y", "en", 1, 2, 3, "b"), (5, text + " q", None, 1, 2, 3, "c"), (5, "z " + text * 2, "en", 1, 2, 3, "d"), (6, None, None, 1, 2, 3, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __text int, __words int, row_digest int, __task string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or (out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows))
+        assert out.count()
+
+
 def test_stages_take_odd_rows(spark, tmp_path, odd_docs, no_docs):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (odd_docs, no_docs):
