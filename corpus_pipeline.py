@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest doc_id."""
+    """Of each group of texts that link (five-word shingles, similarity 0.8) the row with the smallest doc_id."""
     return simhash.near_dedup(docs)
 
 
@@ -44,7 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = shared.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            shared.drop(spark, before)  # it has served: this stage's rows are written
+        before = docs.shared_path
     return STAGES[-1][1](spark, docs, sf_dir)
