@@ -334,14 +334,20 @@ def test_rbf_kernel(spark):
     x, y = rng.normal(size=(60, 2)), rng.normal(4, 1, size=(45, 2))
     make = lambda v: spark.createDataFrame(v.tolist(), "a double, b double")
     d2 = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2)
-    own = lambda m: 1 / (2 * np.median(np.sqrt(m[m > 0])) ** 2)
-    k = [np.exp(-own(m) * m) for m in (d2(x, x), d2(y, y), d2(x, y))]
-    want = (k[0].sum() - 60) / (60 * 59) + (k[1].sum() - 45) / (45 * 44) - 2 * k[2].mean()
-    got = kernel.mmd_rbf(TablePair.of(make(x), make(y))).first()
-    assert (got.mmd_squared, got.n_real, got.n_fake) == (pytest.approx(want), 60, 45)
-    each = {r.column: r.mmd_squared for r in kernel.mmd_column_wise(TablePair.of(make(x), make(y))).collect()}
-    k = [np.exp(-own(m) * m) for m in (d2(x[:, :1], x[:, :1]), d2(y[:, :1], y[:, :1]), d2(x[:, :1], y[:, :1]))]
-    assert each["a"] == pytest.approx((k[0].sum() - 60) / (60 * 59) + (k[1].sum() - 45) / (45 * 44) - 2 * k[2].mean())
+    scale = lambda *m: 1 / (2 * np.median(np.concatenate([np.sqrt(x[x > 0]) for x in m])) ** 2)
+    pair = TablePair.of(make(x), make(y))
+
+    def want(a, b, gammas):
+        k = [np.exp(-g * m) for g, m in zip(gammas, (d2(a, a), d2(b, b), d2(a, b)), strict=True)]
+        return max(0, (k[0].sum() - 60) / (60 * 59) + (k[1].sum() - 45) / (45 * 44) - 2 * k[2].mean())
+
+    all_three = (d2(x, x), d2(y, y), d2(x, y))
+    got = kernel.mmd_rbf(pair, gamma=0.3).first()
+    assert (got.mmd_squared, got.n_real, got.n_fake) == (pytest.approx(want(x, y, [0.3] * 3)), 60, 45) and got.mmd_squared > 0.1
+    assert kernel.mmd_rbf(pair, gamma="pooled").first().mmd_squared == pytest.approx(want(x, y, [scale(*all_three)] * 3))
+    assert kernel.mmd_rbf(pair).first().mmd_squared == pytest.approx(want(x, y, [scale(m) for m in all_three]))
+    each = {r.column: r.mmd_squared for r in kernel.mmd_column_wise(pair, gamma=0.3).collect()}
+    assert each == {c: pytest.approx(want(x[:, [i]], y[:, [i]], [0.3] * 3)) for i, c in enumerate("ab")}
 
 
 def test_classifiers_are_as_stated():

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +23,16 @@ ROWS_PER_PARTITION = 50_000
 
 
 def features(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list]:
-    """Feature column names and the stages that make them: text is indexed by its sorted values, numbers pass through."""
+    """Feature column names and the stages that make them: text is indexed by its sorted values, numbers pass through.
+
+    A code is a number like any other, however many values a column has: a tree splits it by size.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     text = [c for c in columns if not is_numeric(kinds[c])]
     stages = [StringIndexer(inputCol=c, outputCol=f"__ix_{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in text]
-    return [f"__ix_{c}" if c in text else c for c in columns], stages
+    if text:  # a sum has no list of values, which would make the column a set of categories
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"`__ix_{c}` + 0.0D AS `__code_{c}`" for c in text) + " FROM __THIS__"))
+    return [f"__code_{c}" if c in text else c for c in columns], stages
 
 
 def _ready(pair: TablePair, target: str, kind: str) -> tuple[DataFrame, DataFrame, int]:
