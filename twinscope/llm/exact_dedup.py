@@ -31,6 +31,8 @@ MAX_DEPTH = 20
 BUCKETS_PER_OWNER = 64
 #: Bytes of text that a map task folds before it passes entries on.
 FOLD_BYTES = 8 << 20
+#: Rows that a task looks at in one go.
+STEP_ROWS = 500
 
 
 class Directory:
@@ -114,6 +116,13 @@ def _later(a: tuple[int | None, int], b: tuple[int | None, int]) -> bool:
     return a[1] < b[1]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what is made of one, text by text, is held beside it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(at, STEP_ROWS)
+
+
 def _fold(owners: np.ndarray, depth: int):
     """Entries ``(owner, *columns)`` from rows ``(key, text, id, tie, n, ...)``: the row that stays for each distinct text, and how many there are."""
 
@@ -142,9 +151,9 @@ def _fold(owners: np.ndarray, depth: int):
         def entries(table: pa.Table) -> Iterator[pa.RecordBatch]:
             key = table.column("key").to_numpy().view(np.uint64)
             own = owners[(key >> np.uint64(64 - depth)).astype(np.int64)] if depth else np.zeros(len(key), np.int32)
-            yield from table.add_column(0, "owner", pa.array(own, pa.int32())).to_batches(max_chunksize=5_000)
+            yield from table.add_column(0, "owner", pa.array(own, pa.int32())).to_batches(max_chunksize=STEP_ROWS)
 
-        for batch in batches:
+        for batch in _sliced(batches):
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             if held.nbytes > FOLD_BYTES:
@@ -162,7 +171,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a distinct text, ``place`` in its key's chain before the columns of the entries, which come sorted by key."""
     chain: list[list] = []  # text, id and tie, copies, the entry's own row
     key = None
-    for batch in batches:
+    for batch in _sliced(batches):
         done: list[tuple[int, int, pa.RecordBatch]] = []
         keys, ids, ties, counts = (batch.column(c).to_pylist() for c in ("key", "id", "tie", "n"))
         for at, (k, text) in enumerate(zip(keys, batch.column("text").cast(pa.large_binary()), strict=True)):
