@@ -32,8 +32,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Chunks, and words, that a generation of a worker's store holds with their ids.
-CACHE_WORDS = 1 << 18
+#: Words, and for chunks half as many, that a generation of a worker's store holds with their ids.
+CACHE_WORDS = 1 << 17
 #: Characters of a text that are looked at in one go; a chunk longer than this is fed in fragments.
 STEP = 1 << 16
 #: Only chunks of at most so many characters are kept.
@@ -289,24 +289,26 @@ class Transducer:
 class Kept:
     """Strings with their ids, of bounded size: a full generation becomes the old one, from which what is met again moves on."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]]):
-        self.make = make
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = CACHE_WORDS):
+        self.make, self.most = make, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def all(self, strings: list[str]) -> Iterable[bytes]:
         """The ids of all ``strings``; those not known are made together."""
-        new = set(strings).difference(self.young)
-        if new:
-            if len(self.young) + len(new) > CACHE_WORDS:
-                self.old, self.young = self.young, {}
-                new = set(strings)
-            first = list(new.difference(self.old))
-            if len(first) < len(new):
-                self.young.update((s, self.old[s]) for s in new.difference(first))
-            self.young.update(zip(first, self.make(first), strict=True))
+        out = list(map(self.young.get, strings))
+        if None not in out:
+            return out
+        new = {s for s, ids in zip(strings, out) if ids is None}  # noqa: B905
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young = self.young, {}
+            new = set(strings)
+        first = list(new.difference(self.old))
+        if len(first) < len(new):
+            self.young.update((s, self.old[s]) for s in new.difference(first))
+        self.young.update(zip(first, self.make(first), strict=True))
         out = list(map(self.young.__getitem__, strings))
-        for s in new:
+        for s in first:
             if len(s) > _KEPT_CHARS:
                 del self.young[s]
         return out
@@ -316,15 +318,29 @@ class Encoder:
     def __init__(self, model: BpeModel, step: int = STEP):
         self.model, self.step = model, step
         self.words = Kept(lambda words: map(model.word_ids, words))
-        self.chunks = Kept(self._of_chunks)
+        self.chunks = Kept(self._of_chunks, CACHE_WORDS // 2)
 
     def _of_chunks(self, chunks: list[str]) -> list[bytes]:
-        model, ends, words = self.model, [], []
-        for c in chunks:
-            words += model.split(model.normal(c))
-            ends.append(len(words))
-        ids = self.words.all(words)
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
+        """ASCII chunks that begin with white space and end without are split in one go: the pattern cuts between them as it does in a text."""
+        model, blank = self.model, " \t\n\x0b\x0c\r"
+        joined = [c for c in chunks if c.isascii() and c[0] in blank and c[-1] not in blank]
+        words = model.split(model.normal("".join(joined)))
+        sizes = [len(c if model.spaced else c.lstrip(blank)) for c in joined]
+        rest = list(set(chunks).difference(joined))
+        for c in rest:
+            own = model.split(model.normal(c))
+            sizes.append(sum(map(len, own)))
+            words += own
+        found = zip(words, self.words.all(words), strict=True)
+        out: dict[str, bytes] = {}
+        for c, left in zip(joined + rest, sizes, strict=True):
+            parts = []
+            while left:
+                w, ids = next(found)
+                left -= len(w)
+                parts.append(ids)
+            out[c] = b"".join(parts)
+        return list(map(out.__getitem__, chunks))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
