@@ -13,21 +13,22 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Kept, Long, chunk_lists, shared_spec
+from .bpe import CACHE_WORDS, SPACE, BpeModel, Kept, Long, chunk_lists, shared_spec
 from .shared import materialize
 
 MAX_LENGTH = 1024
 #: Bits of a sequence number for the task and for the place; above them is the bucket, log2 of the length.
 TASK_BITS, PLACE_BITS = 24, 34
-_BATCH = 1000
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 
 
 def cuts(size: int, most: int = MAX_LENGTH) -> list[tuple[int, int]]:
@@ -47,8 +48,10 @@ class LibraryIds:
     The byte-level pre-tokenizer always cuts before white space that follows
     another character: no alternative of its pattern crosses that place and none
     looks back. So a text is cut there, and each chunk (a run of white space and
-    what follows) has the same ids alone. Ids of short chunks are kept; the
-    others go through the library, a batch at a time.
+    what follows) has the same ids alone. Ids of short chunks are kept. Others are
+    split into words, whose ids, if not known, are those of the library's model; a
+    text's first and last chunk, one with a special token's string and a long one
+    are encoded by the library as a whole.
     """
 
     def __init__(self, spec: bytes):
@@ -58,19 +61,41 @@ class LibraryIds:
         self.library = Tokenizer.from_str(spec.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks = Kept(self._of_chunks)
-
-    def _of_chunks(self, chunks: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(chunks), _BATCH):
-            for found in self.library.encode_batch(chunks[at : at + _BATCH], add_special_tokens=False):
-                yield np.array(found.ids, dtype="<u4").tobytes()
+        own = BpeModel(spec)
+        self.model, self.split, self.added = self.library.model, own.split, list(own.added)
+        self.bytes = dict(enumerate(own.alphabet))
+        self.chunks, self.words = Kept(self._of_chunks, CACHE_WORDS // 2), Kept(self._of_words, 2 * CACHE_WORDS)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _of_words(self, words: list[str]) -> Iterator[bytes]:
+        for w in words:
+            yield array("I", [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+
+    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that begin with white space and end without are split in one go: the pattern cuts between them as it does in a text."""
+        out: dict[str, bytes] = {}
+        joined = [c for c in chunks if c[0] in _SPACES and c[-1] not in _SPACES]
+        text = "".join(joined)
+        if any(s in text for s in self.added):
+            joined, text = [], ""
+        words = self.split(text)
+        found = zip(words, self.words.all(words), strict=True)
+        for c in joined:
+            left, parts = len(c), []
+            while left:
+                w, ids = next(found)
+                left -= len(w)
+                parts.append(ids)
+            out[c] = b"".join(parts)
+        return [out[c] if c in out else self.whole(c) for c in chunks]
 
     def encode(self, text: str) -> bytes:
         out = []
         for chunks in chunk_lists(text):
             if isinstance(chunks, Long):
-                ids = self.library.encode(text[chunks.start : chunks.end], add_special_tokens=False).ids
-                out.append(np.array(ids, dtype="<u4").tobytes())
+                out.append(self.whole(text[chunks.start : chunks.end]))
             else:
                 out += self.chunks.all(chunks)
         return b"".join(out)
