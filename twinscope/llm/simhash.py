@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import drop, free_name, materialize, shuffle_partitions, whole_text
@@ -341,6 +341,18 @@ def links(nodes: DataFrame, most: int = MAX_DISTANCE, bits: int = BITS) -> DataF
     return tiles.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges that join the same, fewer of them: what ``a`` leads to is tied to the least of it.
+
+    A forest ties a member of a dense group to one root in each of its tiles, a few
+    dozen at most; after this it is tied to one of them, and they to each other.
+    """
+    least = F.min("b").over(Window.partitionBy("a"))  # a row a tile that ``a`` is in
+    tied = edges.withColumn("least", least)
+    ends = F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b"))))
+    return tied.select(ends.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(v, label)``: for each end of ``edges (a, b)`` the smallest id that it reaches.
 
@@ -350,6 +362,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b")))
+    edges = _stars(_stars(edges))
     both = materialize(edges.select(ends.alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label")), "labels")
     while True:
