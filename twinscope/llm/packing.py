@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, SPACE, BpeModel, Kept, Long, chunk_lists, shared_spec
+from .bpe import SPACE, BpeModel, Kept, Long, chunk_lists, shared_spec
 from .shared import materialize
 
 MAX_LENGTH = 1024
+STORE = 1 << 18
 #: Bits of a sequence number for the task and for the place; above them is the bucket, log2 of the length.
 TASK_BITS, PLACE_BITS = 24, 34
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
@@ -54,7 +55,7 @@ class LibraryIds:
     are encoded by the library as a whole.
     """
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, store: int = STORE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -64,7 +65,7 @@ class LibraryIds:
         own = BpeModel(spec)
         self.model, self.split, self.added = self.library.model, own.split, list(own.added)
         self.bytes = dict(enumerate(own.alphabet))
-        self.chunks, self.words = Kept(self._of_chunks, CACHE_WORDS // 2), Kept(self._of_words, 2 * CACHE_WORDS)
+        self.chunks, self.words = Kept(self._of_chunks, store), Kept(self._of_words, store)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -102,17 +103,18 @@ class LibraryIds:
 
 
 @functools.lru_cache(maxsize=2)
-def library_of(spec: bytes) -> LibraryIds:
+def library_of(spec: bytes, store: int) -> LibraryIds:
     """A worker's tokenizer, which its later tasks use again with the ids it has kept."""
-    return LibraryIds(spec)
+    return LibraryIds(spec, store)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LENGTH, store: int = STORE) -> DataFrame:
     """``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``: a row a piece.
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers,
     ``doc_tokens`` counts the document's ids with the closing one, ``sequence_id`` is
-    unique and falls into one range for each length, and ``offset`` is 0. A null or empty text is one piece with the closing id. Rows that repeat
+    unique and falls into one range for each length, and ``offset`` is 0. ``store`` bounds how many chunks, and words, a generation of a worker's store
+    of ids holds: a smaller one costs time, not results. A null or empty text is one piece with the closing id. Rows that repeat
     are packed each; other columns aren't read; an empty table gives an empty
     result.
     """
@@ -121,7 +123,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     spec = shared_spec(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = library_of(spec.value)
+        known = library_of(spec.value, store)
         task = TaskContext.get().partitionId()
         if task >> TASK_BITS:
             raise ValueError(f"more than {1 << TASK_BITS} tasks")
