@@ -33,8 +33,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces, one a row, with their ids."""
-    return packing.pack(docs, bpe.default_path("byte_bpe_50k.json"))
+    """The pieces, one a row, with their ids; a small store, for the workers hold what other stages left as well."""
+    return packing.pack(docs, bpe.default_path("byte_bpe_50k.json"), store=1 << 16)
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("exact_dedup", exact), ("simhash_near_dedup", near), ("packing", pack)]
