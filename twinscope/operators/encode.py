@@ -22,15 +22,19 @@ def categorical_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
 
 
-def _values(pair: TablePair, cats: Sequence[str]) -> DataFrame:
-    """``(c, v)``: the distinct values of each column over both sides."""
+def _values(both: DataFrame, cats: Sequence[str]) -> DataFrame:
+    """``(c, v)``: the distinct values of each column."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cats]))
-    return pair.tagged(cats).select(each.alias("e")).select("e.*").where("v is not null").distinct()
+    return both.select(each.alias("e")).select("e.*").where("v is not null").distinct()
 
 
 def code_table(pair: TablePair, cats: Sequence[str]) -> DataFrame:
     """``(c, v, code)``: the 0-based place of each value among the sorted values of its column, over both sides; a written table of any size."""
-    found = ordered(_values(pair, cats), ["c"], ["v"], lambda s: {"at": s.running(np.ones(s.table.num_rows, np.int64))}, "at long", "codes")
+    return _code_table(pair.tagged(cats), cats)
+
+
+def _code_table(both: DataFrame, cats: Sequence[str]) -> DataFrame:
+    found = ordered(_values(both, cats), ["c"], ["v"], lambda s: {"at": s.running(np.ones(s.table.num_rows, np.int64))}, "at long", "codes")
     sizes = found.groupBy("c", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     shift = sizes.select("c", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
@@ -39,7 +43,7 @@ def code_table(pair: TablePair, cats: Sequence[str]) -> DataFrame:
 
 def codes(pair: TablePair, cats: Sequence[str]) -> dict[str, list[str]]:
     """The sorted values of columns that become columns themselves, one job for all."""
-    rows = _values(pair, cats).limit(MAX_COLUMNS * len(cats) + 1).collect()
+    rows = _values(pair.tagged(cats), cats).limit(MAX_COLUMNS * len(cats) + 1).collect()
     out: dict[str, list[str]] = {c: [] for c in cats}
     for r in rows:
         out[r["c"]].append(r["v"])
@@ -59,14 +63,19 @@ def factorize(pair: TablePair, cats: Sequence[str] | None = None) -> TablePair:
     if not cats:
         return pair
     table = code_table(pair, cats)
+    return replace(pair, real=_coded(pair.real, table, cats), fake=_coded(pair.fake, table, cats))
+
+
+def _coded(df: DataFrame, table: DataFrame, cats: Sequence[str]) -> DataFrame:
+    for c in cats:
+        own = table.where(F.col("c") == c).select(F.col("v").alias("__value"), F.col("code").alias("__code"))
+        df = df.join(own, F.col(f"`{c}`").cast("string") == F.col("__value"), "left").withColumn(c, F.col("__code")).drop("__value", "__code")
+    return df
 
-    def coded(df: DataFrame) -> DataFrame:
-        for c in cats:
-            own = table.where(F.col("c") == c).select(F.col("v").alias("__value"), F.col("code").alias("__code"))
-            df = df.join(own, F.col(f"`{c}`").cast("string") == F.col("__value"), "left").withColumn(c, F.col("__code")).drop("__value", "__code")
-        return df
 
-    return replace(pair, real=coded(pair.real), fake=coded(pair.fake))
+def coded(df: DataFrame, cats: Sequence[str]) -> DataFrame:
+    """Columns of one table as codes of their sorted values, null as null; neither values nor codes reach the driver."""
+    return _coded(df, _code_table(df, cats), cats) if cats else df
 
 
 def one_hot(pair: TablePair, cats: Sequence[str] | None = None) -> TablePair:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.ratings import ML_CLASSIFICATION, ML_OVERALL, ML_REGRESSION
 from ..pair import SEED, TablePair, is_numeric
 from ..work import materialize
+from . import encode
 from .basic import metric
 
 FOLDS = 5
@@ -23,9 +24,9 @@ ROWS_PER_PARTITION = 50_000
 
 
 def features(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list]:
-    """Feature column names and the stages that make them: text is indexed by its sorted values, numbers pass through.
+    """Feature column names and the stages that make them: text of few values is indexed by its sorted values, numbers pass through.
 
-    A code is a number like any other, however many values a column has: a tree splits it by size.
+    The values of a column reach the driver, so this is for samples. A code is a number like any other, however many values a column has: a tree splits it by size.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     text = [c for c in columns if not is_numeric(kinds[c])]
@@ -41,17 +42,20 @@ def _ready(pair: TablePair, target: str, kind: str) -> tuple[DataFrame, DataFram
     both = pair.tagged()
     as_text = [c for c in both.columns if c != "side" and not is_numeric(both.schema[c].dataType)]
     both = both.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("[NAN]")) for c in as_text} | {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in own if c not in as_text}).where(F.col(target).isNotNull())
-    names, stages = features(both, own)
     if kind == "class":
         both = both.withColumn(target, F.col(target).cast("string"))
-        stages = [*stages, StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc")]
+        stages = [StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc")]
     else:
         both = both.withColumn("label", F.col(target).cast("double"))
-    model = Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol="features")]).fit(both)
+        stages = []
+    both = both.withColumn("__fold", F.pmod(F.xxhash64(*own, target), F.lit(1 << 30)) / float(1 << 30))
+    # a code is a number like any other, however many values a column has; whole texts stay off the driver and out of the models
+    if text := [c for c in own if c in as_text]:
+        both = materialize(encode.coded(both, text), "ml-coded")
+    model = Pipeline(stages=[*stages, VectorAssembler(inputCols=own, outputCol="features")]).fit(both)
     out = model.transform(both)
-    fold = F.pmod(F.xxhash64(*own, target), F.lit(1 << 30)) / float(1 << 30)
     classes = len(model.stages[-2].labels) if kind == "class" else 0
-    part = lambda s: out.where(F.col("side") == s).select("features", "label", fold.alias("fold"))
+    part = lambda s: out.where(F.col("side") == s).select("features", "label", F.col("__fold").alias("fold"))
     # iterative fits run a job a step: small tables go in few partitions
     few = max(1, both.count() // ROWS_PER_PARTITION)
     return part(1).coalesce(few), part(0).coalesce(few), classes
