@@ -377,6 +377,31 @@ def test_text_columns_that_fail_have_an_error(spark):
     assert (summary.type, summary.columns) == ("text", 1) and "broken" in summary.error
 
 
+def test_codes_of_values_that_share_their_beginnings(spark):
+    """Digests and heads give the places that whole values have: one the beginning of another, equal for 64 and for 1024 characters, not ASCII."""
+    a = "x" * 64
+    values = [a, a + "b", a + "a", "x" * 1024, "x" * 1024 + "c", "x" * 20_000 + "z", "x" * 20_000 + "y", "", "é", "z", "\U0001f600", "\uffff", None, a]
+    df = spark.createDataFrame([(v, str(i % 3)) for i, v in enumerate(values)], "t string, u string")
+    places = {v: i for i, v in enumerate(sorted({v for v in values if v is not None}, key=lambda v: v.encode()))}
+    got = encode.coded(df.withColumn("whole", F.col("t")), ["t", "u"]).collect()
+    assert len(got) == len(values) and Counter((r.whole, r.t, r.u) for r in got) == Counter((v, places.get(v), i % 3) for i, v in enumerate(values))
+
+
+def test_a_report_moves_no_whole_texts(spark):
+    """Measures compare texts by digests and read them from one table: what is shuffled is far smaller than the texts."""
+    rows = spark.range(300).selectExpr("id", "id % 7 as n", "int(id % 2) as y", "concat_ws('', transform(sequence(1, 400), i -> sha2(concat_ws('-', id % 290, i), 256))) as t").localCheckpoint()
+    side = lambda k: rows.where(F.floor(F.col("id") % 4 / 2) == k).join(rows.select("id", "t").limit(0), ["id", "t"], "left_anti").select("n", "y", "t")
+    pair = TablePair.of(side(0), side(1), text_cols=["t"])
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    report = FidelityReport(pair, Settings(estimators=("DecisionTreeClassifier",)))
+    got = {(r.section, r.metric): r.value for r in report.evaluate("y").collect()}
+    size = 300 * 400 * 64
+    assert written() - before < size / 10
+    assert got["privacy", "real_duplicates"] == privacy.duplicates_count(pair).first()[0] and got["privacy", "copied"] == privacy.copies_count(pair).first()["copied"]
+    assert got["statistics", "correlation_correlation"] == pytest.approx(assoc.correlation_correlation(pair).first()[0])
+
+
 def test_corpus_statistics_and_five_scores(spark):
     pair = texts(spark, ["one two three", "", None], ["one"])
     rows = {r.side: r for r in text.corpus_statistics(pair, "t").collect()}

@@ -9,13 +9,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..pair import TablePair, common_columns, is_numeric
+from ..pair import TablePair, common_columns, digest, is_numeric
+from ..work import materialize
 from .ordered import ordered
 
 __all__ = ["code_table", "codes", "common_columns", "encode_features", "factorize", "numeric_encoding", "one_hot"]
 
 #: Most values of a one-hot column: each becomes a column of the result, and a plan can't hold more.
 MAX_COLUMNS = 100_000
+#: Characters of a value that are compared first, and how many times as many each time that doesn't tell values apart.
+HEAD, LONGER = 64, 16
+#: Most digests that are broadcast.
+MOST_KEYS = 1 << 16
 
 
 def categorical_columns(df: DataFrame) -> list[str]:
@@ -34,7 +39,12 @@ def code_table(pair: TablePair, cats: Sequence[str]) -> DataFrame:
 
 
 def _code_table(both: DataFrame, cats: Sequence[str]) -> DataFrame:
-    found = ordered(_values(both, cats), ["c"], ["v"], lambda s: {"at": s.running(np.ones(s.table.num_rows, np.int64))}, "at long", "codes")
+    return _places(_values(both, cats), "v")
+
+
+def _places(values: DataFrame, by: str) -> DataFrame:
+    """``(c, v, code)`` of distinct ``values``: the place of ``v`` in its column by the order of ``by``."""
+    found = ordered(values, ["c"], [by], lambda s: {"at": s.running(np.ones(s.table.num_rows, np.int64))}, "at long", "codes")
     sizes = found.groupBy("c", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     shift = sizes.select("c", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
@@ -74,8 +84,39 @@ def _coded(df: DataFrame, table: DataFrame, cats: Sequence[str]) -> DataFrame:
 
 
 def coded(df: DataFrame, cats: Sequence[str]) -> DataFrame:
-    """Columns of one table as codes of their sorted values, null as null; neither values nor codes reach the driver."""
-    return _coded(df, _code_table(df, cats), cats) if cats else df
+    """Columns of one table as codes of their sorted values, null as null; codes don't reach the driver.
+
+    Values are told apart by digests and sorted by as much of their beginnings as
+    differs, so that whole texts are neither shuffled nor sampled for ranges.
+    """
+    if not cats:
+        return df
+    return _coded(df.withColumns({c: digest(c) for c in cats}), _places(_heads(df, cats), "head"), cats)
+
+
+def _heads(df: DataFrame, cats: Sequence[str]) -> DataFrame:
+    """``(c, v, head)``, a row a distinct value: its digest, and a beginning that is no other value's, ``HEAD`` characters or, where those are shared, ``LONGER`` times as many, and so on.
+
+    Heads are ordered as the values are: two differ within the shorter one, or that is a whole value.
+    """
+    out: DataFrame | None = None
+    size, shared = HEAD, None
+    while True:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), digest(c).alias("v"), F.substring(F.col(f"`{c}`").cast("string"), 1, size).alias("head")) for c in cats]))
+        rows = df.select(each.alias("e")).select("e.*").where("v is not null")
+        if shared is not None:
+            rows = rows.join(shared, ["c", "v"], "left_semi")
+        rows = rows.distinct()
+        times = rows.groupBy("c", "head").agg(F.count("*").alias("n"))
+        rows = materialize(rows.join(times, ["c", "head"]).select("c", "v", "head", (F.col("n") > 1).alias("shared")), "heads")
+        own = rows.where("not shared").select("c", "v", "head")
+        out = own if out is None else out.unionByName(own)
+        n = rows.where("shared").count()
+        if not n:
+            return out
+        shared = rows.where("shared").select("c", "v")
+        shared = F.broadcast(shared) if n <= MOST_KEYS else shared
+        size = min(size * LONGER, (1 << 31) - 1)
 
 
 def one_hot(pair: TablePair, cats: Sequence[str] | None = None) -> TablePair:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .work import materialize
+
 SEED = 42
 MISSING = "[NAN]"
 
@@ -29,6 +31,11 @@ def row_key(columns: Iterable[str], seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
+def digest(column: str) -> Column:
+    """A value's SHA-256 as hex digits, null for null."""
+    return F.sha2(F.col(f"`{column}`").cast("string"), 256)
+
+
 def common_columns(real: DataFrame, fake: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables cut to their common columns, sorted by name."""
     names = sorted(set(real.columns) & set(fake.columns))
@@ -50,8 +57,8 @@ class TablePair:
     #: Tables that several measures share, by what they are; a changed pair starts with none.
     kept: dict = field(init=False, default_factory=dict, compare=False, repr=False)
 
-    def once(self, what: Hashable, make: Callable[[], DataFrame]) -> DataFrame:
-        """``make()`` the first time, the same table from then on."""
+    def once[Made](self, what: Hashable, make: Callable[[], Made]) -> Made:
+        """``make()`` the first time, the same table or pair from then on."""
         if what not in self.kept:
             self.kept[what] = make()
         return self.kept[what]
@@ -98,6 +105,17 @@ class TablePair:
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in own])
         return self.tagged(own).select("side", F.explode(pairs).alias("e")).select("e.column", "side", "e.value").where("value is not null and not isnan(value)")
 
+    def stored(self) -> TablePair:
+        """The pair read from one written table: what it was made of isn't joined again by each measure."""
+        table = materialize(self.tagged(), "pair")
+        side = lambda k: table.where(F.col("side") == k).select(*self.real.columns)
+        return replace(self, real=side(1), fake=side(0))
+
+    def digested(self) -> TablePair:
+        """Texts as their SHA-256, equal where the texts are: measures that only compare whole values needn't move them."""
+        texts = {c: digest(c) for c in self.text if isinstance(self.real.schema[c].dataType, T.StringType)}
+        return replace(self, real=self.real.withColumns(texts), fake=self.fake.withColumns(texts)) if texts else self
+
     def sampled(self, n: int | None = None) -> TablePair:
         """Both sides cut to ``n`` rows (default: the smaller count), the first ones by ``row_key``; ties are equal rows."""
         if n is None:

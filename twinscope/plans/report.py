@@ -62,9 +62,17 @@ class FidelityReport:
         if target_type not in ("class", "regr"):
             raise ValueError("target_type must be class or regr")
 
+    def _whole(self) -> TablePair:
+        """The pair; one with texts is written once, for all its measures."""
+        return self.pair.once("stored", self.pair.stored) if self.pair.text else self.pair
+
+    def _compared(self) -> TablePair:
+        """The pair with digests in place of texts, for measures that only ask which values are equal."""
+        return self.pair.once("digested", lambda: self._whole().digested().stored()) if self.pair.text else self.pair
+
     def statistics(self) -> dict[str, float]:
         """Scores of the statistics block; both Theil matrices are computed once and serve four of them."""
-        pair = self.pair
+        pair = self._compared()
         matrices = assoc.association_pair(pair).cache()
         try:
             out = {
@@ -86,9 +94,9 @@ class FidelityReport:
     def evaluate(self, target: str, target_type: str = "class") -> DataFrame:
         """``(section, metric, value)``: statistics, utility, privacy, and the similarity score, the mean of four (or five) of them."""
         self._check(target, target_type)
-        pair, own = self.pair, self.settings
+        pair, own = self._compared(), self.settings
         rows = [("statistics", k, float(v) if v is not None else None) for k, v in self.statistics().items()]
-        score = ml.estimator_evaluation(pair, target, target_type, own.kfold, own.metric, estimators=own.estimators)
+        score = ml.estimator_evaluation(self._whole(), target, target_type, own.kfold, own.metric, estimators=own.estimators)
         rows.append(("ml", "estimator_evaluation", float(score)))
         copied = privacy.copies_count(pair).first()
         twice = privacy.duplicates_count(pair).first()
@@ -133,9 +141,10 @@ class FidelityReport:
             raise ValueError("the pair has no text column")
         scores = ("lexical", "tfidf", "jaccard", "overall", "rating", "consistency")
         rows, advice = [], {}
+        whole = self.pair.kept.get("stored", self.pair)  # not written for this alone: a column that can't be would cost the others
         for c in self.pair.text:
             try:
-                r = text.text_evaluation(self.pair, c, self.settings.vector_columns.get(c)).first().asDict()
+                r = text.text_evaluation(whole, c, self.settings.vector_columns.get(c)).first().asDict()
                 advice[c] = text_advice(r["overall"], r["jaccard"], r["diversity_ratio"], r["tfidf"], r.get("semantic"), r["spread"])
                 rows.append((c, *[r[s] for s in scores], None))
             except Exception as e:  # one column's failure must not cost the others
