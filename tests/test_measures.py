@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinscope.functions import ratings, scalar
-from twinscope.operators import assoc, basic, dist, encode, kernel, ml, privacy, text, viz
+from twinscope.operators import assoc, basic, dist, encode, kernel, ml, nearest, privacy, text, viz
 from twinscope.pair import MISSING, TablePair
 from twinscope.plans.report import FidelityReport, Settings
 from twinscope.sources.files import align_loaded, load_csv_pair, write_report
@@ -302,6 +302,26 @@ def test_nearest_row(spark):
     assert tuple(got) == (pytest.approx(near.mean()), pytest.approx(near.std()), 700)
 
 
+def test_nearest_row_of_all_rows(spark):
+    """More rows than any sample held: all look, and in all."""
+    real = spark.range(30_000).selectExpr("cast(id as double) as x", "cast(0 as double) as z")
+    fake = spark.range(25_000).selectExpr("cast(id as double) as x", "cast(3 as double) as z")
+    gaps = np.sqrt(9 + np.maximum(np.arange(30_000) - 24_999.0, 0) ** 2)
+    got = privacy.row_distance(TablePair.of(real, fake)).first()
+    assert tuple(got) == (pytest.approx(gaps.mean(), rel=1e-12), pytest.approx(gaps.std(), rel=1e-9), 30_000)
+
+
+def test_nearest_row_by_cells(spark):
+    """Cells give what all pairs give: clusters, ties on a column, copies, points far off, missing values, and a cell that most rows look in."""
+    rng = np.random.default_rng(3)
+    a = np.concatenate([rng.normal(size=(400, 3)), rng.normal(size=(300, 3)) * 50, np.full((200, 3), 2.0), rng.integers(0, 3, (200, 3))])
+    b = np.concatenate([rng.normal(size=(500, 3)), rng.integers(0, 3, (300, 3)), [[1e9, -1e9, 0.0]], np.column_stack([np.zeros(200), np.zeros(200), np.arange(200)])])
+    make = lambda x: spark.createDataFrame([*x.tolist(), (None, 0.0, 0.0)], "a double, b double, c double")
+    near = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).min(axis=1)
+    got = nearest.nearest(make(a), make(b), ["a", "b", "c"], held=10, cell_points=16, group_rows=50).collect()
+    assert np.sort(np.repeat([r.d for r in got], [r.n for r in got])) == pytest.approx(np.sort(near))
+
+
 def test_a_row_that_fills_the_table(spark):
     """Groups larger than a task's share are written out by several."""
     df = spark.range(200_000).selectExpr("'x' as a", "cast(null as int) as b")

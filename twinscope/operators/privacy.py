@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from ..functions.ratings import ATTACK_RISK, K_ANONYMITY, privacy_advice
 from ..functions.scalar import clamp
 from ..pair import SEED, TablePair, is_numeric, row_key
 from ..work import materialize
+from .nearest import nearest
 
 NEUTRAL_ACCURACY = 0.5
 
@@ -61,38 +60,24 @@ def duplicates_count(pair: TablePair) -> DataFrame:
     return counted.agg(members("__r").alias("real_duplicates"), members("__f").alias("fake_duplicates"))
 
 
-def row_distance(pair: TablePair, columns: Sequence[str] | None = None, max_samples: int = 20_000, direction: str = "real") -> DataFrame:
-    """One row ``(mean_distance, std_distance, n)``: from each real row to the nearest fake one, over samples of one size by hash order.
+def row_distance(pair: TablePair, columns: Sequence[str] | None = None, max_samples: int | None = None, direction: str = "real") -> DataFrame:
+    """One row ``(mean_distance, std_distance, n)``: from each real row to the nearest fake one, over all rows, or ``max_samples`` of a side by hash order.
 
-    ``direction`` ``fake`` goes the other way. Both samples hold ``max_samples`` rows
-    at most; ``n`` is how many rows looked for their nearest one. Squared distances
-    come from products of matrices, some rows at a time, in as many tasks as the
-    session has shuffle partitions.
+    ``direction`` ``fake`` goes the other way; ``n`` is how many rows looked for their nearest one.
     """
     own = list(columns or pair.numerical)
 
     def take(df: DataFrame) -> DataFrame:
         rows = df.select(*[F.col(c).cast("double").alias(c) for c in own]).na.drop()
-        return rows.orderBy(row_key(own, pair.seed), *own).limit(max_samples)
+        return rows if max_samples is None else rows.orderBy(row_key(own, pair.seed), *own).limit(max_samples)
 
     a, b = (pair.real, pair.fake) if direction == "real" else (pair.fake, pair.real)
-    spark = pair.real.sparkSession
-    # max_samples rows of doubles
-    other = spark.sparkContext.broadcast(np.column_stack([take(b).toArrow().column(c).to_numpy() for c in own]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = other.value
-        for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy() for c in own])
-            for at in range(0, len(x), 256):
-                # differences rather than products: equal rows are 0 apart to the last digit
-                d2 = sum((x[at : at + 256, k, None] - y[None, :, k]) ** 2 for k in range(len(own)))
-                near = np.sqrt(d2.min(axis=1)) if len(y) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([pa.array(near)], ["d"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = take(a).repartition(parts).mapInArrow(run, "d double")
-    return near.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean_distance"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("std_distance"), F.count("d").alias("n"))
+    near = nearest(take(a), take(b), own)
+    n, d = F.col("n"), F.col("d")
+    # deviations from the mean in a second pass: sums of squares would lose the digits of equal distances
+    mean = near.agg((F.sum(n * d) / F.sum("n")).alias("mean"))
+    out = near.join(F.broadcast(mean)).agg(F.max("mean").alias("mean"), F.sqrt(F.sum(n * (d - F.col("mean")) * (d - F.col("mean"))) / F.sum("n")).alias("std"), F.sum("n").alias("n"))
+    return out.select(F.coalesce("mean", F.lit(0.0)).alias("mean_distance"), F.coalesce("std", F.lit(0.0)).alias("std_distance"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def quasi_identifiers(df: DataFrame, max_unique_ratio: float = 0.9, min_unique_count: int = 2, min_unique_ratio: float = 0.01) -> DataFrame:
