@@ -311,6 +311,12 @@ def test_nearest_row_of_all_rows(spark):
     assert tuple(got) == (pytest.approx(gaps.mean(), rel=1e-12), pytest.approx(gaps.std(), rel=1e-9), 30_000)
 
 
+def test_the_privacy_report_looks_at_all_rows(spark):
+    df = spark.range(21_000).selectExpr("cast(id % 3 as string) as q", "cast(id as double) as x")
+    found, _ = privacy.privacy_evaluation(TablePair.of(df, df.selectExpr("q", "x + 0.5 as x")), ["q"], membership=False)
+    assert tuple(found["row_distance"].first()) == (0.5, 0.0, 21_000)
+
+
 def test_nearest_row_by_cells(spark):
     """Cells give what all pairs give: clusters, ties on a column, copies, points far off, missing values, and a cell that most rows look in."""
     rng = np.random.default_rng(3)
