@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import random
 import re
@@ -398,6 +399,46 @@ def test_packed_ids_of_long_white_space_are_the_library(packed):
         assert library.decode(np.frombuffer(own.encode(text), "<u4").tolist()) == text
 
 
+def test_packed_ids_look_up_each_word_once(packed, monkeypatch):
+    own, library = packed
+    asked = []
+    plain = bpe.Kept.all
+    monkeypatch.setattr(bpe.Kept, "all", lambda kept, strings: asked.extend(strings) or plain(kept, strings))
+    text = " ".join(f"word{chr(97 + i % 23)}{'.,;:'[i % 4]}" for i in range(50_000))
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) < 100  # one by one: 50,000
+
+
+ODD = ["a", "é", "中", "🙂", "1", "½", " ", "  ", "\n", "\r\n", "\u3000", "\u2003", "\x85", "\x1c", "\0", "'", "'s", "'ll", "'l", "'re", "'v", "'S", ".", "!", "<|endoftext|>", "<|endoftext", "\u0301", "\ufffe", "x" * 70, " the"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=3)), max_size=12).map("".join), max_size=6), step=st.sampled_from([1, 3, 20, 1 << 20]))
+def test_packed_ids_of_many_texts_are_the_library(packed, texts, step):
+    own, library = packed
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in own.closed([t.encode() for t in texts], step)]
+    assert found == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_packed_ids_at_the_edges_of_kinds(packed):
+    own, library = packed
+    kinds = packing.kinds()
+    edges = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
+    points = [chr(c) for c in sorted({*range(0x300), *edges.tolist(), *(edges - 1).tolist()}) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}{c}'s{c}\n" for c in points[at : at + 50]) for at in range(0, len(points), 50)]
+    for text, ids in zip(texts, own.closed(t.encode() for t in texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_packed_ids_of_other_tokenizers_are_the_library():
+    with open(bpe.default_path(BYTE), "rb") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    own, library = packing.LibraryIds(json.dumps(spec).encode()), Tokenizer.from_str(json.dumps(spec))
+    for text in ("", "one two", " one 'll<|endoftext|>x"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_odd_rows(odd_docs, no_docs):
     path = bpe.default_path(BYTE)
     rows = packing.pack(odd_docs, path).collect()
